@@ -14,11 +14,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin rows over all cores when a scan yields fewer partitions.
+
+    CPU-heavy row work (text clean-up, tokenising) on a file with a single row
+    group would otherwise run as one task.  On a real multi-file input the scan
+    already has enough partitions and this is a no-op.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
+          spread_rows: bool = False) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if spread_rows else df
 
 
 def review_votes(spark: SparkSession, sf_dir: str, n_docs: int | None = None) -> DataFrame:
@@ -49,7 +64,7 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFra
     (one row per doc) on doc_id.
     """
     cols = ["doc_id", "source", "lang"] + (["text"] if with_text else [])
-    docs = table(spark, sf_dir, "documents", *cols)
+    docs = table(spark, sf_dir, "documents", *cols, spread_rows=with_text)
     votes = review_votes(spark, sf_dir)
     out = docs.join(votes, "doc_id", "left").select(
         F.concat(F.col("source"), F.lit("-"), F.col("lang")).alias("asin"),
