@@ -42,3 +42,52 @@ def consecutive_pairs(df: DataFrame, key: str, pos: str, cols: list[str]) -> Dat
     a = df.select(key, pos, *[F.col(c).alias(f"{c}1") for c in cols])
     b = df.select(F.col(key), (F.col(pos) - 1).alias(pos), *[F.col(c).alias(f"{c}2") for c in cols])
     return a.join(b, [key, pos])
+
+
+def group_rank(df: DataFrame, key: list[str], order: list[Column | str],
+               name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """0-based rank of each row within its key group, in a total ``order``.
+
+    Same idea as :func:`dense_index` but per group: rows are range-partitioned
+    on (key, order), so a huge group is split over many tasks instead of being
+    sorted in one window task.  Offsets come from the per-(partition, key)
+    counts, a table with at most partitions + groups rows.
+    """
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    key_cols = [F.col(k) for k in key]
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranked = (df.repartitionByRange(n, *key_cols, *order_cols)
+              .sortWithinPartitions(*key_cols, *order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mono", F.monotonically_increasing_id()))
+    counts = ranked.groupBy("_pid", *key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+    w = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *key, "_first",
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = ranked.join(offsets, ["_pid", *key]).withColumn(
+        name, F.col("_off") + F.col("_mono") - F.col("_first"))
+    return out.drop("_pid", "_mono", "_off", "_first")
+
+
+def salted_self_pairs(df: DataFrame, key: str, id_col: str, cols: list[str],
+                      tile_rows: int = 2048) -> DataFrame:
+    """All pairs (a, b) with a.key == b.key and a.id < b.id, hot keys split.
+
+    Each key gets ``t = ceil(size / tile_rows)`` salts: the left side is
+    hashed into one of t salts, the right side is replicated t times, and the
+    equi-join runs on (key, salt).  A key holding a third of all rows is thus
+    spread over t tasks instead of one; small keys keep t = 1 (no copies).
+    """
+    sizes = df.groupBy(key).agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(tile_rows))).alias("_t"))
+    base = df.select(key, id_col, *cols).join(sizes, key)
+    left = base.select(F.col(key), F.col(id_col).alias(f"{id_col}_a"),
+                       *[F.col(c).alias(f"{c}_a") for c in cols],
+                       F.pmod(F.xxhash64(F.col(id_col)), F.col("_t")).alias("_salt"))
+    right = base.select(F.col(key), F.col(id_col).alias(f"{id_col}_b"),
+                        *[F.col(c).alias(f"{c}_b") for c in cols],
+                        F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                             (F.col("_t") - 1).cast("bigint"))).alias("_salt"))
+    pairs = left.join(right, [key, "_salt"])
+    return pairs.filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).drop("_salt")
