@@ -60,4 +60,5 @@ def r6(c: Column | str) -> Column:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from reviewlens.plans import queries_text, queries_vectors, queries_votes  # noqa: F401
+    from reviewlens.plans import (  # noqa: F401
+        queries_clustering, queries_text, queries_vectors, queries_votes)
