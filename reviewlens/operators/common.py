@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.session import checkpoint_dir
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared checkpoint
+    folder: later uses read the same rows even when executors were lost or
+    the plan holds non-repeatable steps (sampled range bounds, row ids)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx",
                 start: int = 0, partitions: int | None = None) -> DataFrame:
@@ -14,13 +24,15 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx",
     order, i.e. end with a unique key).  Each partition's local position comes
     from ``monotonically_increasing_id`` and the partition's offset from a
     cumulative sum over the per-partition counts: a table with one row per
-    partition, so its broadcast is bounded by the partition count.
+    partition, so its broadcast is bounded by the partition count.  The sorted
+    rows are checkpointed once, so row ids and partition ids stay consistent
+    between the count pass and the numbering pass.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranked = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id()))
+    ranked = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
@@ -56,10 +68,10 @@ def group_rank(df: DataFrame, key: list[str], order: list[Column | str],
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     key_cols = [F.col(k) for k in key]
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranked = (df.repartitionByRange(n, *key_cols, *order_cols)
-              .sortWithinPartitions(*key_cols, *order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id()))
+    ranked = cut_lineage(df.repartitionByRange(n, *key_cols, *order_cols)
+                         .sortWithinPartitions(*key_cols, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()))
     counts = ranked.groupBy("_pid", *key).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     w = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
