@@ -114,12 +114,25 @@ def q_dedupe_genes(spark, sf_dir):
     """Duplicates of a doubled individual replaced by unused candidates."""
     pop, cands = _scored_population(spark, sf_dir)
     j = pop.join(cands, "grp").withColumn("doubled", F.concat("genes", F.slice("genes", 1, 3)))
-    d = S.dedupe(F.col("doubled"), F.col("n_cand"), 0, F.col("grp"), F.col("ind"), "dd")
+    d = S.dedupe_udf()(F.col("doubled"), F.col("n_cand"), F.concat_ws("|", "grp", "ind"))
     return j.select("grp", "ind", F.size(F.array_distinct("doubled")).alias("distinct_before"),
                     F.size(F.array_distinct(d)).alias("distinct_after"),
                     F.array_join(d.cast("array<string>"), " ").alias("genes"))
 
 
+@register("breed_children")
+def q_breed_children(spark, sf_dir):
+    """G5 + G6 + G7 in one step: children of pairs (ind, ind + 1)."""
+    pop, cands = _scored_population(spark, sf_dir)
+    a = pop.select("grp", "ind", F.col("genes").alias("x1"))
+    b = pop.select("grp", (F.col("ind") - 1).alias("ind"), F.col("genes").alias("x2"))
+    j = a.join(b, ["grp", "ind"]).join(cands, "grp")
+    kid = S.breed_udf(CFG)("x1", "x2", "n_cand", "grp", "ind", F.lit(0).cast("bigint"))
+    return j.select("grp", "ind", F.size(kid).alias("n_genes"),
+                    F.size(F.array_distinct(kid)).alias("n_distinct"),
+                    F.array_join(kid.cast("array<string>"), " ").alias("genes"))
+
+
 def _helpfulness_model(spark, sf_dir):
     train = TS.make_dataset_mk1(reviews(spark, sf_dir), seed=0)
     return M.fit_helpfulness(train, max_iter=10)

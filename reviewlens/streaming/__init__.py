@@ -1,0 +1 @@
+"""Structured Streaming form of the vote aggregates (the original has no streaming)."""

@@ -1,0 +1,35 @@
+"""Per-document vote counts (P2 inputs of A2) over a stream of event files.
+
+The same aggregate as ``sources.tables.review_votes``, maintained
+incrementally: new parquet files in the events folder update the counts.
+State is one row per document; the checkpoint folder comes from the caller
+(on a cluster: under the shared ``spark.checkpoint.dir``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def vote_counts_stream(spark: SparkSession, events_dir: str, n_docs: int) -> DataFrame:
+    ev = spark.readStream.schema(EVENT_SCHEMA).parquet(events_dir)
+    ev = ev.filter((F.col("event_id") % 3 != 0) | (F.col("event_id") % 2 == 0))
+    n = F.lit(int(n_docs))
+    e = F.pmod(F.col("event_id"), n)
+    doc = F.pmod(e * e + F.pmod(F.col("user_id") * 7, n), n)
+    return ev.groupBy(doc.alias("doc_id")).agg(
+        F.count_if(F.col("event_type").isin("view", "click", "purchase")).alias("ups"),
+        F.count_if(F.col("event_type") != "signup").alias("inters"))
+
+
+def run_once(spark: SparkSession, events_dir: str, n_docs: int, checkpoint: str,
+             table: str = "vote_counts"):
+    """Process everything available, keep the result in a memory table."""
+    q = (vote_counts_stream(spark, events_dir, n_docs).writeStream.outputMode("complete")
+         .format("memory").queryName(table).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(table)
