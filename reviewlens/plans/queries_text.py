@@ -56,8 +56,9 @@ FROM c
 def q_clean_text(spark, sf_dir):
     r = reviews(spark, sf_dir)
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 4 + 1).cast("int"))
-    c = r.select("asin", "doc_id",
-                 X.clean_text(F.concat(F.col("review_text"), F.lit(" "), phrase)).alias("clean"))
+    c = (r.select("asin", "doc_id",
+                  T.remove_accents(F.concat(F.col("review_text"), F.lit(" "), phrase)).alias("folded"))
+         .select("asin", "doc_id", T.expand_contractions("folded").alias("clean")))
     return c.select("asin", "doc_id", F.md5("clean").alias("clean_md5"),
                     F.length("clean").cast("bigint").alias("clean_chars"),
                     F.size(T.word_tokens("clean")).cast("bigint").alias("n_word_tokens"),
