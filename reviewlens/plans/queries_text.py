@@ -242,3 +242,37 @@ WHERE length(piece) > 40
 def q_product_sentences(spark, sf_dir):
     r = reviews(spark, sf_dir).select("asin", "doc_id", "review_text")
     return X.dot_sentences(r, "review_text", ["asin", "doc_id"], min_chars=40)
+
+
+@register("bag_of_words", f"""
+SELECT conv_id, turn, t AS token, count(*) AS n
+FROM (SELECT conv_id, turn, unnest(list_filter({_sql_ws_tokens('text')},
+                                               lambda t: NOT list_contains({STOP_SQL}, t))) AS t
+      FROM conversations)
+GROUP BY conv_id, turn, t
+""")
+def q_bag_of_words(spark, sf_dir):
+    """Bag of words per document (stop words removed, case kept)."""
+    cv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", spread_rows=True)
+    stop = F.array(*[F.lit(w) for w in T.STOP_WORDS])
+    toks = F.filter(T.whitespace_tokens("text"), lambda t: ~F.array_contains(stop, t))
+    return cv.select("conv_id", "turn", F.explode(toks).alias("token")) \
+        .groupBy("conv_id", "turn", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("every_kth_sentence", f"""
+SELECT doc_id, pos, sentence, idx FROM (
+  SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, {_sql_strip('piece')} AS sentence,
+         CAST(row_number() OVER (ORDER BY doc_id, pos) - 1 AS BIGINT) AS idx
+  FROM (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT doc_id, string_split(text, '.') AS parts FROM documents))
+  WHERE length(piece) > 20)
+WHERE idx % 10 = 0
+""")
+def q_every_kth_sentence(spark, sf_dir):
+    """Every 10th sentence in (doc_id, pos) order, numbered by a distributed
+    dense index (no single-task window over all rows)."""
+    from reviewlens.operators.common import dense_index
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", spread_rows=True)
+    s = dense_index(X.dot_sentences(docs, "text", ["doc_id"], min_chars=20), ["doc_id", "pos"])
+    return s.filter(F.col("idx") % 10 == 0).select("doc_id", "pos", "sentence", "idx")
