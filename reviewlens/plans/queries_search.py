@@ -233,7 +233,7 @@ def q_summarise_all_products(spark, sf_dir):
 
     Not registered yet: the per-product DBSCAN auto-tuning (up to 26 rounds of
     checkpointed jobs) makes it take many minutes even at sf0.001."""
-    from reviewlens.plans import pipeline as P
+    from reviewlens.plans import summariser as P
     from reviewlens.plans.queries_rouge import summary_pairs
     from reviewlens.session import checkpoint_dir
     cfg = P.SummariseConfig(search=S.SearchConfig(population=24, max_iter=3))
