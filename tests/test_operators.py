@@ -67,3 +67,24 @@ def test_mk2_class_guard(spark):
     # .5 / .8 bands at sf0.01: 48 unhelpful vs 16 helpful rows -> the guard fails
     with pytest.raises(ValueError, match="class guard"):
         TS.make_dataset_mk2(reviews(spark, "/root/testdata/sf0.01"), bad_ratio=.5, good_ratio=.8)
+
+
+def test_group_rank_and_dense_index_are_stable(spark):
+    """Distributed ranks equal a window row_number, on every re-evaluation."""
+    from pyspark.sql import Window
+
+    from reviewlens.operators import votes
+    from reviewlens.operators.common import dense_index, group_rank
+    from reviewlens.operators.text_ops import dot_sentences
+    r = reviews(spark, "/root/testdata/sf0.01")
+    s = dot_sentences(votes.positive_product_reviews(r).select("asin", "doc_id", "review_text"),
+                      "review_text", ["asin", "doc_id"], min_chars=30)
+    g = group_rank(s, ["asin"], ["doc_id", "pos"], name="sidx")
+    d = dense_index(s, ["asin", "doc_id", "pos"], name="gidx")
+    w = s.withColumn("sidx2", F.row_number().over(Window.partitionBy("asin").orderBy("doc_id", "pos")) - 1) \
+        .withColumn("gidx2", F.row_number().over(Window.orderBy("asin", "doc_id", "pos")) - 1)
+    j = g.join(d.select("asin", "doc_id", "pos", "gidx"), ["asin", "doc_id", "pos"]) \
+        .join(w.select("asin", "doc_id", "pos", "sidx2", "gidx2"), ["asin", "doc_id", "pos"])
+    for _ in range(2):
+        assert j.filter("sidx <> sidx2 OR gidx <> gidx2").count() == 0
+    assert j.count() == s.count()
