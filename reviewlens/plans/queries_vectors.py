@@ -21,7 +21,9 @@ from reviewlens.sources.tables import table
 
 def vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    return e.select(F.lit(0).cast("bigint").alias("grp"), "vec_id",
+    # the fixture is one group; the key is computed from the row (not a literal)
+    # so joins on it stay equi-joins, the shape they have with real product keys
+    return e.select((F.col("vec_id") * 0).cast("bigint").alias("grp"), "vec_id",
                     F.col("embedding").cast("array<double>").alias("vec"),
                     F.col("label").cast("bigint").alias("label"))
 
