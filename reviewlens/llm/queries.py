@@ -28,3 +28,54 @@ def op1_quality_rules(spark, sf_dir):
     from reviewlens.llm import quality
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op9_byte_bpe")
+def op9_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from reviewlens.llm import bpe
+    vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *vocab), *vocab).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@register("op8_token_records")
+def op8_token_records(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from reviewlens.llm import records, shared
+    folder = shared.new_folder(spark, "records")
+    manifest = records.write_records(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"), folder)
+    read = records.with_starts(records.read_records(manifest, folder), manifest)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       records.crc32_long("ids").alias("ids_crc32"))
+
+
+MARKED = "</s>[INST] ok [/INST]"
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '<', '\l'), '[', '\b'), ']', '\e')"
+
+
+@register("op4_chat_format", f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{MARKED}')
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(11 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT)
+         AS formatted_chars
+FROM c GROUP BY conv_id
+""")
+def op4_chat_format(spark, sf_dir):
+    from reviewlens.llm import chat
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{MARKED}' AS text")
+    return chat.read_back(chat.render(chat.fold(chat.events_from_turns(turns.unionByName(marked)))))
