@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import textbatch as tb
-from reviewlens.llm.units import Store
+from reviewlens.llm.units import Store, take
 
 NEVER = np.int64(1) << 62
 CELLS = 1 << 21  # of one group of pieces
@@ -68,10 +68,17 @@ class Vocabulary:
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of units: each match of the pattern separately."""
-        lists = [[m.encode() for m in self.pattern.findall(u)] for u in units]
-        found = self.encode_pieces(list(dict.fromkeys(p for x in lists for p in x)))
-        out = [t for x in lists for p in x for t in found[p]]
-        return np.array(out, np.uint32), np.array([sum(len(found[p]) for p in x) for x in lists], np.int64)
+        lists = [self.pattern.findall(u) for u in units]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(p, len(number)) for x in lists for p in x], np.int64)
+        pieces = [p.encode() for p in number]
+        found = self.encode_pieces(pieces)
+        sizes = np.array([len(found[p]) for p in pieces], np.int64)
+        flat = np.fromiter((t for p in pieces for t in found[p]), np.uint32, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        out, done = take(flat, (ends - sizes)[which], ends[which])
+        per_unit = np.cumsum([len(x) for x in lists])
+        return out, np.diff(np.append(0, done)[per_unit], prepend=0)
 
     def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         done = {p: [self.ranks[p]] for p in pieces if p in self.ranks}

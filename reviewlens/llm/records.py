@@ -19,6 +19,7 @@ each; an empty table gives no shard; a damaged length or payload raises.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -33,10 +34,11 @@ from tokenizers import Tokenizer
 
 from reviewlens.llm import shared
 from reviewlens.llm import textbatch as tb
-from reviewlens.llm.units import Store
+from reviewlens.llm.units import Store, take
 
 END_ID = 2
 READ_BYTES = 8 << 20
+JOINED = 256
 HAS_ID, NARROW = 1, 2
 
 
@@ -77,14 +79,33 @@ def unframe(read) -> bytes | None:
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> tuple[Store, bool]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a character stands for a byte
+    for token, i in vocabulary.items():
+        width[i] = len(token)
 
-    def encode(units):
-        found = [x.ids for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def library(texts):
+        found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
 
+    def encode(units):
+        """Units that start with a blank go to the library as runs of JOINED, cut again by their bytes."""
+        blank = np.array([u[0] == " " and not u[-1].isspace() for u in units], bool)
+        order = np.concatenate([np.flatnonzero(blank), np.flatnonzero(~blank)])
+        spaced = [units[i] for i in order[:blank.sum()]]
+        ids, _ = library(["".join(spaced[k:k + JOINED]) for k in range(0, len(spaced), JOINED)])
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in spaced), np.int64, len(spaced)))
+        cut = np.searchsorted(np.cumsum(width[ids]), ends, side="left") + 1
+        rest, rest_sizes = library([units[i] for i in order[blank.sum():]])
+        sizes = np.concatenate([np.diff(cut, prepend=0), rest_sizes])
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])[np.argsort(order)]
+        sizes = sizes[np.argsort(order)]
+        return take(np.concatenate([ids, rest]), at, at + sizes)[0], sizes
+
     return Store(encode), max(tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16
 
 

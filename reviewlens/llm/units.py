@@ -1,74 +1,99 @@
 """Texts as units whose tokens don't depend on their neighbours, and a store of those tokens.
 
-A unit is a word with the blanks and line feeds before it.  The pre-tokenisers used here
-never join a word to what follows the next blank, so tokens of a text are the tokens of
-its units, one after the other.  The only exception is other white space directly before
-a blank or line feed; such a text is one unit.  Each task encodes a unit once.
+The pre-tokenisers used here never join a word to what follows the next blank, so where
+every blank stands between two other characters, the tokens of a text are those of its
+first word and then of each blank with its word, one after the other.  A text with other
+white space beside a blank, or a blank at an end, is one unit.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_JOINED = re.compile(r"[^\S \n][ \n]|[\x1c-\x1f]")
+_ODD = re.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z|[\x1c-\x1f]")
+_ODD_ASCII = [x for c in " \t\n\v\f\r" for x in (c + " ", " " + c)] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+
+
+def odd(text: str) -> bool:
+    if text.isascii():
+        return text[0] == " " or text[-1] == " " or any(x in text for x in _ODD_ASCII)
+    return _ODD.search(text) is not None
 
 
 def split(text: str) -> list[str]:
-    if _JOINED.search(text):
-        return [text]
-    return _UNIT.findall(text)
+    """Keys of the units: a word stands for a blank and the word; a blank and a string for the string."""
+    if not text:
+        return []
+    if odd(text):
+        return [" " + text]
+    keys = text.split(" ")
+    keys[0] = " " + keys[0]
+    return keys
+
+
+def unit(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
+class _Index(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 class Store:
     """Token ids by unit.  ``encode`` maps a list of units to (flat ids, ids per unit).
 
-    The store is emptied when it holds ``most`` units, so its memory is bounded.
+    Beyond ``most`` units, those asked for only once go; should the rest be more than half
+    of ``most``, all go.  So memory is bounded, and what goes is encoded again if needed.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _room(self, ids: int, units: int) -> None:
-        if self.used + ids > len(self.flat):
-            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + ids))
-        if len(self.at) + units + 1 > len(self.start):
-            self.start = np.resize(self.start, max(2 * len(self.start), len(self.at) + units + 1))
-
-    def _learn(self, units: list[str]) -> None:
-        flat, sizes = self.encode(units)
-        self._room(len(flat), len(units))
-        n = len(self.at)
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.start[n + 1:n + 1 + len(units)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.at.update(zip(units, range(n, n + len(units)), strict=True))
+        self.at = _Index()
+        self.flat = np.zeros(0, np.uint32)
+        self.start = np.zeros(1, np.int64)
+        self.asked = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.asked > 1)
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        keys = list(self.at)
+        self.at = _Index((keys[k], n) for n, k in enumerate(keep.tolist()))
+        self.flat, ends = take(self.flat, self.start[keep], self.start[keep + 1])
+        self.start = np.append(0, ends)
+        self.asked = np.ones(len(keep), np.int32)
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
-        lists = [split(t) for t in texts]
-        per_text = np.array([len(x) for x in lists], np.int64)
-        units = [u for x in lists for u in x]
         if len(self.at) > self.most:
-            self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.at]
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        sizes = self.start[which + 1] - self.start[which]
-        ends = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(sizes, out=ends[1:])
-        ids = self.flat[np.repeat(self.start[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+            self._forget()
+        lists = [split(t) for t in texts]
+        known = len(self.at)
         bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(per_text, out=bounds[1:])
-        return ids, ends[bounds]
+        np.cumsum([len(x) for x in lists], out=bounds[1:])
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(lists)), np.int64, int(bounds[-1]))
+        if len(self.at) > known:
+            keys = list(self.at)[known:]
+            flat, sizes = self.encode([unit(k) for k in keys])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.asked = np.concatenate([self.asked, np.zeros(len(keys), np.int32)])
+        self.asked += np.bincount(which, minlength=len(self.asked)).astype(np.int32)
+        ids, ends = take(self.flat, self.start[which], self.start[which + 1])
+        return ids, np.append(0, ends)[bounds]
+
+
+def take(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans flat[start:end] one after the other, and where each of them ends."""
+    sizes = end - start
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - (ends - sizes), sizes) + np.arange(total)], ends
