@@ -79,3 +79,17 @@ def op4_chat_format(spark, sf_dir):
     marked = spark.range(2).selectExpr(
         "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{MARKED}' AS text")
     return chat.read_back(chat.render(chat.fold(chat.events_from_turns(turns.unionByName(marked)))))
+
+
+@register("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    from reviewlens.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    from reviewlens.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
