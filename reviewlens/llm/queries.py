@@ -93,3 +93,10 @@ def op10_language_id(spark, sf_dir):
     from reviewlens.llm import langid
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
+
+
+@register("op2_decontaminate")
+def op2_decontaminate(spark, sf_dir):
+    from reviewlens.llm import decontaminate
+    index = decontaminate.build(table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), index)
