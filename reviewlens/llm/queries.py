@@ -100,3 +100,9 @@ def op2_decontaminate(spark, sf_dir):
     from reviewlens.llm import decontaminate
     index = decontaminate.build(table(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), index)
+
+
+@register("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    from reviewlens.llm import suffix_dedup
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
