@@ -38,6 +38,7 @@ from reviewlens.llm.units import Store, take
 
 END_ID = 2
 READ_BYTES = 8 << 20
+WRITE_BYTES = 6 << 20
 JOINED = 256
 HAS_ID, NARROW = 1, 2
 
@@ -127,7 +128,7 @@ def write_records(docs: DataFrame, path: str, folder: str, text: str = "text") -
         n_docs = n_ids = offset = 0
         with system.open_output_stream(f"{draft}.rec") as out, system.open_output_stream(f"{draft}.idx") as index:
             for batch in batches:
-                for part in tb.chunks(batch, "text"):
+                for part in tb.chunks(batch, "text", WRITE_BYTES):
                     ids, bounds = store.tokens([t or "" for t in part.column("text").to_pylist()])
                     for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
                         own = np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(END_ID))

@@ -40,10 +40,13 @@ def unit(key: str) -> str:
 
 
 class _Index(dict):
-    """Numbers keys in the order in which they are first asked for."""
+    """Numbers keys in the order in which they are first asked for; ``new`` has those not yet encoded."""
+
+    new: list[str]
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
@@ -57,6 +60,7 @@ class Store:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.at = _Index()
+        self.at.new = []
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.asked = np.zeros(0, np.int32)
@@ -67,6 +71,7 @@ class Store:
             keep = keep[:0]
         keys = list(self.at)
         self.at = _Index((keys[k], n) for n, k in enumerate(keep.tolist()))
+        self.at.new = []
         self.flat, ends = take(self.flat, self.start[keep], self.start[keep + 1])
         self.start = np.append(0, ends)
         self.asked = np.ones(len(keep), np.int32)
@@ -76,12 +81,11 @@ class Store:
         if len(self.at) > self.most:
             self._forget()
         lists = [split(t) for t in texts]
-        known = len(self.at)
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) for x in lists], out=bounds[1:])
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(lists)), np.int64, int(bounds[-1]))
-        if len(self.at) > known:
-            keys = list(self.at)[known:]
+        if self.at.new:
+            keys, self.at.new = self.at.new, []
             flat, sizes = self.encode([unit(k) for k in keys])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, flat])
