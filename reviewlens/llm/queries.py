@@ -106,3 +106,9 @@ def op2_decontaminate(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     from reviewlens.llm import suffix_dedup
     return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op7_ngram_join")
+def op7_ngram_join(spark, sf_dir):
+    from reviewlens.llm import ngram_join
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
