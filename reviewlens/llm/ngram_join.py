@@ -10,10 +10,10 @@ shares at least the smaller l of the two, and is then verified on the whole sets
 
 Since only components are asked for, pairs inside one aren't formed.  Sets are first
 compared with the leaders of their home list (the posting list of their first shingle
-that another set has); next, one pair for each two components that meet in a list; and at last
+that another set has); next, a few pairs for each two components that meet in lists; and at last
 all candidate pairs between sets that are still in different components, which makes
 the result whole.  The order's frequencies are those of at most ``COMMON`` shingles that are
-frequent within a batch; any order is right, a better one only shortens lists.
+frequent among AT_ONCE of a task; any order is right, a better one only shortens lists.
 
 Defined cases: texts without words (null, empty) have no shingle and are their own
 component; repeated rows and equal ids fall together; a null id takes part, and is reported
@@ -37,7 +37,10 @@ LONGEST = 4  # largest l
 VERIFY = 20  # cost of a verification in postings
 COMMON = 1 << 19
 LEADERS = 24
-TRIED = 3  # pairs for each two components in the second step
+AT_ONCE = 4_000_000  # shingles that a task counts together
+MET = 4  # lists in which those pairs meet, at least
+TRIED = (3, 8, 16, 32)  # pairs for each two components in the turns of the second step
+LARGE = 256
 
 
 def overlap(n):
@@ -83,14 +86,19 @@ def _sets(column: pa.Array, common: tuple[np.ndarray, np.ndarray] | None, size:
 def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles (sorted) and their counts; at most COMMON."""
     def count(batches):
+        seen, held = [], 0
         for batch in batches:
-            for part in tb.chunks(batch, "text", 8 * tb.CHUNK_BYTES):
+            for part in tb.chunks(batch, "text"):
                 hashes, bounds, ids = _sets(part.column("text"), None, size)
                 once = np.zeros(part.num_rows, bool)
                 once[np.unique(ids, return_index=True)[1]] = True
-                keys, n = np.unique(hashes[once[tb.rows_of(bounds)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[n > 3].view(np.int64)), pa.array(n[n > 3])], ["shingle", "n"])
+                seen.append(hashes[once[tb.rows_of(bounds)]])
+                held += len(seen[-1])
+                if held >= AT_ONCE:
+                    yield _frequent(seen)
+                    seen, held = [], 0
+        if seen:
+            yield _frequent(seen)
 
     top = (docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle")
            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow())
@@ -99,6 +107,15 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], top.column("n").to_numpy()[order]
 
 
+def _frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
+    keys = np.concatenate(seen)
+    keys.sort()
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(keys)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[begin[n > 3]].view(np.int64)), pa.array(n[n > 3])], ["shingle", "n"])
+
+
 def _prefixes(docs: DataFrame, common, size: int) -> DataFrame:
     """One row per document: doc_id, set, n and the longest prefix (once per batch and set)."""
     shared_order = docs.sparkSession.sparkContext.broadcast(common)
@@ -160,21 +177,27 @@ def _lists_of(batch: pa.RecordBatch):
 
 
 def _chosen(postings: DataFrame) -> DataFrame:
-    """Each set's l by estimated cost, and its home list."""
+    """Each set's l by estimated cost, and its home list.
+
+    A partner shares LONGEST shingles of the longest prefixes (or the whole overlap, if that
+    is less), so sets with fewer shared ones have none and go.
+    """
     need = F.ceil(F.col("n") * PERCENT / 100)
     sums = [F.sum(F.when(F.col("place") < F.col("n") - need + k, F.col("length") - 1).otherwise(0)).alias(f"s{k}")
             for k in range(1, LONGEST + 1)]
-    per_set = postings.groupBy("set", "n").agg(*sums, F.min_by("shingle", "place").alias("home"))
+    per_set = postings.groupBy("set", "n").agg(
+        *sums, F.min_by("shingle", "place").alias("home"), F.count(F.lit(1)).alias("shared"))
+    per_set = per_set.filter(F.col("shared") >= F.least(F.lit(LONGEST), need))
     cost = [F.struct((F.col(f"s{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l"))
             for k in range(1, LONGEST + 1)]
     usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= F.ceil(F.col("n") * PERCENT / 100)))
     return per_set.select("set", "n", "home", F.array_min(usable)["l"].alias("l"))
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, column: str, size: int) -> DataFrame:
+def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set, content): the sorted 48-bit shingles of the wanted sets, and of a few more."""
     spark = docs.sparkSession
-    keep = spark.sparkContext.broadcast(bloom.build(wanted, column, wanted.count()))
+    keep = spark.sparkContext.broadcast(bloom.build(wanted, "set", wanted.count()))
 
     def run(batches):
         for batch in batches:
@@ -209,10 +232,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (small + large - common)
 
 
-def _led(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+def _led(contents: DataFrame, chosen: DataFrame) -> DataFrame:
     """(set, component): sets joined to a leader of their home list."""
-    rows = _contents(docs, chosen, "set", size).join(chosen.select("set", "n", "home"), "set")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = contents.join(chosen.select("set", "n", "home"), "set")
+    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         now, leaders = None, []
@@ -233,10 +256,20 @@ def _led(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                           .select("home", "set", "content").mapInArrow(run, "set long, component long"), "ngram-led")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _some(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The contents of the wanted sets and of a few more."""
+    keep = contents.sparkSession.sparkContext.broadcast(bloom.build(wanted, "set", wanted.count()))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep.value.has(batch.column("set").to_numpy())))
+
+    return contents.mapInArrow(run, contents.schema)
+
+
+def _verified(contents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) that link."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-    contents = shared.written(_contents(docs, ends, "set", size), "ngram-contents")
+    contents = _some(contents, pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
     both = (pairs.select("x", "y").join(contents.select(F.col("set").alias("x"), F.col("content").alias("cx")), "x")
             .join(contents.select(F.col("set").alias("y"), F.col("content").alias("cy")), "y"))
 
@@ -269,15 +302,26 @@ def _in_lists(postings: DataFrame, chosen: DataFrame, labels: DataFrame) -> Data
     return own.join(meet.select("shingle"), "shingle", "left_semi")
 
 
-def _met(lists: DataFrame) -> DataFrame:
-    """At most TRIED pairs for each two components that meet, those in most lists first."""
-    ends = lists.groupBy("shingle", "component").agg(F.min("set").alias("set"))
+def _met(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """At most TRIED[turn] pairs for each two components that meet, those in most lists first.
+
+    Each list offers one set of a component, another one each turn.  After the first
+    turn only pairs of components are tried between which LARGE or more pairs are possible.
+    """
+    pick = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set")
+    ends = lists.groupBy("shingle", "component").agg(F.min(pick)["set"].alias("set"))
     centre = ends.groupBy("shingle").agg(F.min(F.struct("component", "set")).alias("c"))
     star = ends.join(centre, "shingle").filter(F.col("component") != F.col("c.component")).groupBy(
         F.col("c.component").alias("a"), F.col("component").alias("b"),
         F.col("c.set").alias("x"), F.col("set").alias("y")).agg(F.count(F.lit(1)).alias("met"))
+    star = star.filter(F.col("met") >= MET)
+    if turn:
+        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+        star = (star.join(sizes.select(F.col("component").alias("a"), F.col("members").alias("na")), "a")
+                .join(sizes.select(F.col("component").alias("b"), F.col("members").alias("nb")), "b")
+                .filter(F.col("na") * F.col("nb") >= LARGE))
     best = Window.partitionBy("a", "b").orderBy(F.desc("met"), "x", "y")
-    return star.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED).select("x", "y")
+    return star.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED[turn]).select("x", "y")
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
@@ -298,13 +342,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE) ->
     rows = _prefixes(source, _common(source, size), size)
     postings = _postings(rows)
     chosen = shared.written(_chosen(postings), "ngram-chosen")
-    labels = _led(source, chosen, size)
-    pairs = shared.written(_met(_in_lists(postings, chosen, labels)), "ngram-met")
-    if pairs.limit(1).count():
-        labels = _relabelled(labels, _verified(source, pairs, size))
+    contents = shared.written(_contents(source, chosen, size), "ngram-contents")
+    labels = _led(contents, chosen)
+    for turn in range(len(TRIED)):
+        pairs = shared.written(_met(_in_lists(postings, chosen, labels), labels, turn), "ngram-met")
+        if not pairs.limit(1).count():
+            break
+        labels = _relabelled(labels, _verified(contents, pairs))
     pairs = shared.written(_candidates(_in_lists(postings, chosen, labels)), "ngram-candidates")
     if pairs.limit(1).count():
-        labels = _relabelled(labels, _verified(source, pairs, size))
+        labels = _relabelled(labels, _verified(contents, pairs))
 
     sets = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     sets = sets.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
