@@ -39,7 +39,7 @@ COMMON = 1 << 19
 LEADERS = 24
 AT_ONCE = 4_000_000  # shingles that a task counts together
 MET = 4  # lists in which those pairs meet, at least
-TRIED = (3, 8, 16, 32)  # pairs for each two components in the turns of the second step
+TRIED = (3, 8)  # pairs for each two components in the turns of the second step
 LARGE = 256
 
 
@@ -297,7 +297,7 @@ def _in_lists(postings: DataFrame, chosen: DataFrame, labels: DataFrame) -> Data
     need = F.ceil(F.col("n") * PERCENT / 100)
     own = (postings.select("shingle", "set", "n", "place").join(chosen.select("set", "l"), "set")
            .filter(F.col("place") < F.col("n") - need + F.col("l")).join(labels, "set"))
-    own = shared.written(own.select("shingle", "set", "n", "l", "component"), "ngram-lists")
+    own = shared.written(own.select("shingle", "set", "n", "l", "place", "component"), "ngram-lists")
     meet = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     return own.join(meet.select("shingle"), "shingle", "left_semi")
 
@@ -325,15 +325,21 @@ def _met(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share enough prefix shingles."""
-    side = ["set", "n", "l", "component"]
+    """Pairs of sets of different components that share enough prefix shingles and can still link.
+
+    After their last common prefix shingle two sets share at most what either has left.
+    """
+    side = ["set", "n", "l", "place", "component"]
     a = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in side])
     b = lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in side])
-    fits = (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))
+    fits = 100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")
+    most = F.col("met") + F.least(F.col("n_x") - 1 - F.col("last_x"), F.col("n_y") - 1 - F.col("last_y"))
     return (a.join(b, "shingle").filter((F.col("set_x") < F.col("set_y")) & (F.col("component_x") != F.col("component_y")) & fits)
-            .groupBy(F.col("set_x").alias("x"), F.col("set_y").alias("y"))
-            .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("l_x", "l_y")).alias("least"))
-            .filter("met >= least").select("x", "y"))
+            .groupBy(F.col("set_x").alias("x"), F.col("set_y").alias("y"), "n_x", "n_y")
+            .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("l_x", "l_y")).alias("least"),
+                 F.max("place_x").alias("last_x"), F.max("place_y").alias("last_y"))
+            .filter((F.col("met") >= F.col("least")) & (100 * most >= PERCENT * (F.col("n_x") + F.col("n_y") - most)))
+            .select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
