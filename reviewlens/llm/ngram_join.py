@@ -1,9 +1,9 @@
 """Similarity join on word shingles with adaptive multi-match prefixes.
 
-A document is its set of distinct ``SHINGLE``-word shingles (64-bit hashes); equal sets are one
+A document is its set of distinct ``size``-word shingles (64-bit hashes); equal sets are one
 entity.  All sets are sorted in one order, rare shingles first.  Two sets with a Jaccard
-similarity of ``PERCENT`` per cent or more share at least l shingles among the first
-n - ceil(PERCENT n / 100) + l of either, for every l up to that overlap.  Each set chooses
+similarity of ``percent`` per cent or more share at least l shingles among the first
+n - ceil(percent n / 100) + l of either, for every l up to that overlap.  Each set chooses
 its own l: the longer prefix costs more postings, but a candidate then has to share l of
 them.  The cost is estimated from the lengths of the posting lists.  A pair is a candidate when it
 shares at least the smaller l of the two, and is then verified on the whole sets.
@@ -41,11 +41,12 @@ AT_ONCE = 4_000_000  # shingles that a task counts together
 MET = 4  # lists in which those pairs meet, at least
 TRIED = (3, 8)  # pairs for each two components in the turns of the second step
 LARGE = 256
+FIRST = 3  # partners that each set tries before the rest
 
 
-def overlap(n):
+def overlap(n, percent: int = PERCENT):
     """Least overlap of a set of n with a partner."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def _frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
         [pa.array(keys[begin[n > 3]].view(np.int64)), pa.array(n[n > 3])], ["shingle", "n"])
 
 
-def _prefixes(docs: DataFrame, common, size: int) -> DataFrame:
+def _prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
     """One row per document: doc_id, set, n and the longest prefix (once per batch and set)."""
     shared_order = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -127,7 +128,7 @@ def _prefixes(docs: DataFrame, common, size: int) -> DataFrame:
                 n = np.diff(bounds)
                 first = np.zeros(part.num_rows, bool)
                 first[np.unique(ids, return_index=True)[1]] = True
-                length = np.where(first, np.minimum(n, n - overlap(n) + LONGEST), 0)
+                length = np.where(first, np.minimum(n, n - overlap(n, percent) + LONGEST), 0)
                 ends = np.cumsum(length)
                 at = np.repeat(bounds[:-1] - (ends - length), length) + np.arange(int(ends[-1]))
                 lists = pa.ListArray.from_arrays(
@@ -176,13 +177,13 @@ def _lists_of(batch: pa.RecordBatch):
         ["shingle", "set", "n", "place", "length"])
 
 
-def _chosen(postings: DataFrame) -> DataFrame:
+def _chosen(postings: DataFrame, percent: int) -> DataFrame:
     """Each set's l by estimated cost, and its home list.
 
     A partner shares LONGEST shingles of the longest prefixes (or the whole overlap, if that
     is less), so sets with fewer shared ones have none and go.
     """
-    need = F.ceil(F.col("n") * PERCENT / 100)
+    need = F.ceil(F.col("n") * percent / 100)
     sums = [F.sum(F.when(F.col("place") < F.col("n") - need + k, F.col("length") - 1).otherwise(0)).alias(f"s{k}")
             for k in range(1, LONGEST + 1)]
     per_set = postings.groupBy("set", "n").agg(
@@ -190,7 +191,7 @@ def _chosen(postings: DataFrame) -> DataFrame:
     per_set = per_set.filter(F.col("shared") >= F.least(F.lit(LONGEST), need))
     cost = [F.struct((F.col(f"s{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l"))
             for k in range(1, LONGEST + 1)]
-    usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= F.ceil(F.col("n") * PERCENT / 100)))
+    usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= F.ceil(F.col("n") * percent / 100)))
     return per_set.select("set", "n", "home", F.array_min(usable)["l"].alias("l"))
 
 
@@ -224,15 +225,15 @@ def _unpack(content: bytes) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = min(len(a), len(b)), max(len(a), len(b))
-    if 100 * small < PERCENT * large:
+    if 100 * small < percent * large:
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (small + large - common)
+    return 100 * common >= percent * (small + large - common)
 
 
-def _led(contents: DataFrame, chosen: DataFrame) -> DataFrame:
+def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """(set, component): sets joined to a leader of their home list."""
     rows = contents.join(chosen.select("set", "n", "home"), "set")
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -245,7 +246,7 @@ def _led(contents: DataFrame, chosen: DataFrame) -> DataFrame:
                 if home != now:
                     now, leaders = home, []
                 own = _unpack(content)
-                mine = next((x for x, other in leaders if linked(other, own)), None)
+                mine = next((x for x, other in leaders if linked(other, own, percent)), None)
                 if mine is None:
                     leaders = [(name, own), *leaders][:LEADERS]
                 out.append(name if mine is None else mine)
@@ -267,7 +268,7 @@ def _some(contents: DataFrame, wanted: DataFrame) -> DataFrame:
     return contents.mapInArrow(run, contents.schema)
 
 
-def _verified(contents: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(contents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that link."""
     contents = _some(contents, pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
     both = (pairs.select("x", "y").join(contents.select(F.col("set").alias("x"), F.col("content").alias("cx")), "x")
@@ -275,7 +276,7 @@ def _verified(contents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [linked(_unpack(a), _unpack(b))
+            ok = [linked(_unpack(a), _unpack(b), percent)
                   for a, b in zip(batch.column("cx").to_pylist(), batch.column("cy").to_pylist())]
             yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
@@ -292,9 +293,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
         "set", F.coalesce("new", "component").alias("component")), "ngram-labels")
 
 
-def _in_lists(postings: DataFrame, chosen: DataFrame, labels: DataFrame) -> DataFrame:
+def _in_lists(postings: DataFrame, chosen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Postings within each set's own prefix, of lists where components meet."""
-    need = F.ceil(F.col("n") * PERCENT / 100)
+    need = F.ceil(F.col("n") * percent / 100)
     own = (postings.select("shingle", "set", "n", "place").join(chosen.select("set", "l"), "set")
            .filter(F.col("place") < F.col("n") - need + F.col("l")).join(labels, "set"))
     own = shared.written(own.select("shingle", "set", "n", "l", "place", "component"), "ngram-lists")
@@ -324,7 +325,7 @@ def _met(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return star.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED[turn]).select("x", "y")
 
 
-def _candidates(lists: DataFrame) -> DataFrame:
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that share enough prefix shingles and can still link.
 
     After their last common prefix shingle two sets share at most what either has left.
@@ -332,32 +333,47 @@ def _candidates(lists: DataFrame) -> DataFrame:
     side = ["set", "n", "l", "place", "component"]
     a = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in side])
     b = lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in side])
-    fits = 100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")
+    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     most = F.col("met") + F.least(F.col("n_x") - 1 - F.col("last_x"), F.col("n_y") - 1 - F.col("last_y"))
     return (a.join(b, "shingle").filter((F.col("set_x") < F.col("set_y")) & (F.col("component_x") != F.col("component_y")) & fits)
             .groupBy(F.col("set_x").alias("x"), F.col("set_y").alias("y"), "n_x", "n_y")
             .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("l_x", "l_y")).alias("least"),
                  F.max("place_x").alias("last_x"), F.max("place_y").alias("last_y"))
-            .filter((F.col("met") >= F.col("least")) & (100 * most >= PERCENT * (F.col("n_x") + F.col("n_y") - most)))
-            .select("x", "y"))
+            .filter((F.col("met") >= F.col("least")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)))
+            .select("x", "y", most.alias("most")))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    own = labels.select(F.col("set").alias("x"), F.col("component").alias("a"))
+    other = labels.select(F.col("set").alias("y"), F.col("component").alias("b"))
+    return pairs.join(own, "x").join(other, "y").filter("a <> b").select("x", "y", "most")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = _prefixes(source, _common(source, size), size)
+    rows = _prefixes(source, _common(source, size), size, percent)
     postings = _postings(rows)
-    chosen = shared.written(_chosen(postings), "ngram-chosen")
+    chosen = shared.written(_chosen(postings, percent), "ngram-chosen")
     contents = shared.written(_contents(source, chosen, size), "ngram-contents")
-    labels = _led(contents, chosen)
+    labels = _led(contents, chosen, percent)
     for turn in range(len(TRIED)):
-        pairs = shared.written(_met(_in_lists(postings, chosen, labels), labels, turn), "ngram-met")
+        pairs = shared.written(_met(_in_lists(postings, chosen, labels, percent), labels, turn), "ngram-met")
+        if not pairs.limit(1).count():
+            break
+        labels = _relabelled(labels, _verified(contents, pairs, percent))
+    pairs = shared.written(_candidates(_in_lists(postings, chosen, labels, percent), percent), "ngram-candidates")
+    for end in ("x", "y"):  # the likeliest partners first; what they join needs no more pairs
         if not pairs.limit(1).count():
             break
-        labels = _relabelled(labels, _verified(contents, pairs))
-    pairs = shared.written(_candidates(_in_lists(postings, chosen, labels)), "ngram-candidates")
+        best = Window.partitionBy(end).orderBy(F.desc("most"), "x", "y")
+        first = pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST)
+        labels = _relabelled(labels, _verified(contents, shared.written(first.select("x", "y"), "ngram-first"), percent))
+        pairs = shared.written(_between(pairs, labels), "ngram-candidates")
     if pairs.limit(1).count():
-        labels = _relabelled(labels, _verified(contents, pairs))
+        labels = _relabelled(labels, _verified(contents, pairs, percent))
 
     sets = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     sets = sets.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -366,3 +382,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE) ->
     return rows.select("doc_id", "n", "set").join(named, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns.
+
+    Rows that share an id stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(docs, text, size, percent)
+    stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
+    rest = docs.filter(F.col("doc_id").isNull())
+    return docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").unionByName(rest)

@@ -112,3 +112,10 @@ def op6_suffix_dedup(spark, sf_dir):
 def op7_ngram_join(spark, sf_dir):
     from reviewlens.llm import ngram_join
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op5_lm_score")
+def op5_lm_score(spark, sf_dir):
+    from reviewlens.llm import pitman_yor
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score_documents(docs, pitman_yor.fit(docs))
