@@ -38,7 +38,7 @@ from reviewlens.llm.units import Store, take
 
 END_ID = 2
 READ_BYTES = 8 << 20
-WRITE_BYTES = 6 << 20
+WRITE_BYTES = 4 << 20
 JOINED = 256
 HAS_ID, NARROW = 1, 2
 

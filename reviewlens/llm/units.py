@@ -57,7 +57,7 @@ class Store:
     of ``most``, all go.  So memory is bounded, and what goes is encoded again if needed.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
         self.at = _Index()
         self.at.new = []
