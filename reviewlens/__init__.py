@@ -8,7 +8,6 @@ cluster label, so all products are processed in one Spark job.  Sub-packages:
 * ``operators`` – grouped / joined / windowed operators (votes, text, vectors,
                   clustering, diagnostics, training sets, ROUGE, search)
 * ``plans``     – end-to-end plans (summarise all products) and the query catalog
-* ``streaming`` – the vote profile as a Structured Streaming aggregate
 """
 
 from reviewlens.session import get_spark, checkpoint_dir

@@ -7,7 +7,9 @@ subset shared by Java regex and RE2 so the DuckDB oracle can run the same text.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,102 +40,77 @@ def _col(c: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # F1 accents: NFKD, then drop what is not ASCII.
 # ---------------------------------------------------------------------------
-def _accent_tables(lo: int = 0x00A0, hi: int = 0x024F):
-    """Built by rule from the Unicode database: char -> ASCII part of its NFKD form."""
-    single_src, single_dst, multi = [], [], []
-    for cp in range(lo, hi + 1):
-        ch = chr(cp)
+@lru_cache(maxsize=1)
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """Built by rule from the Unicode database, over all code points: those whose NFKD form
+    has one ASCII character (source and target string), and those with several."""
+    single, several = {}, {}
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
         base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-        if base == ch:
-            continue
         if len(base) == 1:
-            single_src.append(ch)
-            single_dst.append(base)
-        elif len(base) > 1:
-            multi.append((ch, base))
-    return "".join(single_src), "".join(single_dst), multi
-
-
-_ACC_SRC, _ACC_DST, _ACC_MULTI = _accent_tables()
+            single[ch] = base
+        elif base:
+            several[ch] = base
+    return "".join(single), "".join(single.values()), several
 
 
 def remove_accents(c: Column | str) -> Column:
-    """Latin letters fold to their base letter (NFKD rule table), the few
-    multi-letter decompositions are replaced, every other non-ASCII char is dropped."""
-    out = _col(c)
-    for ch, base in _ACC_MULTI:
-        out = F.replace(out, F.lit(ch), F.lit(base))
-    out = F.translate(out, _ACC_SRC, _ACC_DST)
-    return F.regexp_replace(out, "[^\\x00-\\x7F]", "")
+    """characters fold to the ASCII part of their NFKD form, others outside ASCII go.
+    ASCII texts pass through; texts with ligatures and the like are looked up by character."""
+    c = _col(c)
+    source, target, several = _accent_tables()
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())),
+                         F.lit("\x01"), F.lit("\x02"))
+    each = F.regexp_extract_all(c, F.lit("(?s)."), 0)
+    wide = F.array_join(F.transform(each, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    some = F.lit("[" + "".join(several) + "]")
+    folded = F.translate(F.when(F.regexp_like(c, some), wide).otherwise(c), source, target)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(folded, "[^\\x00-\\x7F]", "")).otherwise(c)
 
 
 # ---------------------------------------------------------------------------
-# F2 contractions, generated from suffix rules plus irregular forms.
+# F2 contractions: general endings, and the forms that don't follow them.
 # ---------------------------------------------------------------------------
-# Stems taking each contracted suffix, and the irregular forms.
-NOT_STEMS = "are could did does do had has have is may might must need ought should was were would"
-NOT_HAVE_STEMS = "could had might must need ought should would"
-HAVE_STEMS = "could i might must should so to we what when where who why will would you they"
-WOULD_STEMS = "he i it she that there they we you"
-WOULD_HAVE_STEMS = "he i it she that there they we you"
-DID_STEMS = "how where"
-WILL_STEMS = "he how i it she they we what who you"
-WILL_HAVE_STEMS = "he i it she they we what who you"
-ARE_STEMS = "they we what you"
-IS_STEMS = "he how it she that there what when where who why"
+# Applied in this order to a lower-cased word.
+ENDINGS = (("n't", " not"), ("'ve", " have"), ("'ll", " will"), ("'re", " are"), ("'m", " am"), ("'d", " would"))
+# Forms that the endings don't give ('s is a possessive after other words).
 IRREGULAR = {
-    "ain't": "is not", "can't": "cannot", "can't've": "cannot have",
-    "shan't": "shall not", "sha'n't": "shall not", "shan't've": "shall not have",
-    "won't": "will not", "won't've": "will not have", "i'm": "i am",
-    "let's": "let us", "so's": "so as", "'cause": "because", "ma'am": "madam",
-    "o'clock": "of the clock", "how'd'y": "how do you", "y'all": "you all",
-    "y'all'd": "you all would", "y'all'd've": "you all would have",
-    "y'all're": "you all are", "y'all've": "you all have",
+    "ain't": "is not", "can't": "cannot", "shan't": "shall not", "sha'n't": "shall not", "won't": "will not",
+    "let's": "let us", "so's": "so as", "ma'am": "madam", "o'clock": "of the clock", "how'd'y": "how do you",
+    "y'all": "you all", "how'd": "how did", "where'd": "where did",
+    "he's": "he is", "how's": "how is", "it's": "it is", "she's": "she is", "that's": "that is",
+    "there's": "there is", "what's": "what is", "when's": "when is", "where's": "where is",
+    "who's": "who is", "why's": "why is",
 }
-
-
-def contraction_map() -> dict[str, str]:
-    rules = [
-        (NOT_STEMS, "n't", " not"), (NOT_HAVE_STEMS, "n't've", " not have"),
-        (HAVE_STEMS, "'ve", " have"), (WOULD_STEMS, "'d", " would"),
-        (WOULD_HAVE_STEMS, "'d've", " would have"), (DID_STEMS, "'d", " did"),
-        (WILL_STEMS, "'ll", " will"), (WILL_HAVE_STEMS, "'ll've", " will have"),
-        (ARE_STEMS, "'re", " are"), (IS_STEMS, "'s", " is"),
-    ]
-    table: dict[str, str] = {}
-    for stems, suffix, expansion in rules:
-        for stem in stems.split():
-            table.setdefault(stem + suffix, stem + expansion)
-    table.update(IRREGULAR)
-    return table
-
-
-# Runs of letters/apostrophes and runs of everything else: concatenated, the
-# pieces give back the text exactly, so a contraction is one whole piece.
-CONTRACTION_PIECES = "[A-Za-z']+|[^A-Za-z']+"
+# A word with its inner apostrophes, or a run between words: quotes around a word stay outside.
+CONTRACTION_PIECES = "[A-Za-z]+(?:'[A-Za-z]+)*|[^A-Za-z]+"
+_BECAUSE = "(^|[^A-Za-z])'cause([^A-Za-z]|$)"
+_STEM = "^(sha'n't|how'd'y|[a-z]+'[a-z]+)(.*)$"
 
 
 def expand_contractions(c: Column | str) -> Column:
-    """each letter/apostrophe piece found (lower-cased) in the contraction
-    map is replaced by its expansion, whose first letter takes the case of the
-    piece's first letter ("Can't" -> "Cannot", "CAN'T" -> "Cannot").
-
-    One regex pass plus a literal-map lookup per piece; texts without an
-    apostrophe pass through untouched.
+    """irregular words by table, others by their endings; what follows an irregular form
+    ("can't've") is expanded by its ending too.  The first letter keeps its case ("CAN'T" ->
+    "Cannot").  Matches are whole words, with or without quotes around them.
     """
     c = _col(c)
-    table = contraction_map()
-    m = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-    pieces = F.regexp_extract_all(c, F.lit(CONTRACTION_PIECES), 0)
+    table = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
 
-    def fix(t: Column) -> Column:
-        exp = F.try_element_at(m, F.lower(t))
-        head = F.substring(t, 1, 1)
-        is_upper = (head == F.upper(head)) & (head != F.lower(head))
-        cased = F.when(is_upper, F.concat(F.upper(F.substring(exp, 1, 1)),
-                                          F.substring(exp, 2, 1 << 16))).otherwise(exp)
-        return F.when((F.instr(t, "'") > 0) & exp.isNotNull(), cased).otherwise(t)
+    def endings(x: Column) -> Column:
+        for old, new in ENDINGS:
+            x = F.replace(x, F.lit(old), F.lit(new))
+        return x
 
+    def fix(t: Column) -> Column:
+        low = F.lower(t)
+        known = F.try_element_at(table, F.regexp_extract(low, _STEM, 1))
+        full = F.coalesce(F.concat(known, endings(F.regexp_extract(low, _STEM, 2))), endings(low))
+        upper = F.substring(t, 1, 1) != F.substring(low, 1, 1)
+        cased = F.when(upper, F.concat(F.upper(F.substring(full, 1, 1)), F.substr(full, F.lit(2)))).otherwise(full)
+        return F.when((F.instr(t, "'") > 0) & (full != low), cased).otherwise(t)
+
+    plain = F.regexp_replace(c, "(?i)" + _BECAUSE, "$1because$2")
+    pieces = F.regexp_extract_all(plain, F.lit(CONTRACTION_PIECES), 0)
     return F.when(F.instr(c, "'") > 0, F.array_join(F.transform(pieces, fix), "")).otherwise(c)
 
 
@@ -142,16 +119,23 @@ def _sq(s: str) -> str:
 
 
 def expand_contractions_sql(expr: str) -> str:
-    """The same piece-wise lookup as DuckDB SQL (oracle)."""
-    table = contraction_map()
-    m = "MAP {" + ", ".join(f"{_sq(k)}: {_sq(v)}" for k, v in sorted(table.items())) + "}"
-    e = f"{m}[lower(t)]"
-    apos = _sq("'")
-    fix = (f"CASE WHEN contains(t, {apos}) AND {e} IS NOT NULL THEN "
-           f"CASE WHEN left(t, 1) = upper(left(t, 1)) AND left(t, 1) <> lower(left(t, 1)) "
-           f"THEN upper(left({e}, 1)) || substr({e}, 2) ELSE {e} END ELSE t END")
-    pieces = f"regexp_extract_all({expr}, {_sq(CONTRACTION_PIECES)})"
-    return (f"CASE WHEN contains({expr}, {apos}) THEN "
+    """The same rules as DuckDB SQL (oracle)."""
+    table = "MAP {" + ", ".join(f"{_sq(k)}: {_sq(v)}" for k, v in IRREGULAR.items()) + "}"
+    quote = _sq("'")
+
+    def endings(x: str) -> str:
+        for old, new in ENDINGS:
+            x = f"replace({x}, {_sq(old)}, {_sq(new)})"
+        return x
+
+    known = f"{table}[regexp_extract(lower(t), {_sq(_STEM)}, 1)]"
+    rest = endings(f"regexp_extract(lower(t), {_sq(_STEM)}, 2)")
+    full = f"coalesce({known} || {rest}, {endings('lower(t)')})"
+    fix = (f"CASE WHEN NOT contains(t, {quote}) OR {full} = lower(t) THEN t WHEN left(t, 1) <> left(lower(t), 1) "
+           f"THEN upper(left({full}, 1)) || substr({full}, 2) ELSE {full} END")
+    plain = f"regexp_replace({expr}, {_sq('(?i)' + _BECAUSE)}, '\\1because\\2', 'g')"
+    pieces = f"regexp_extract_all({plain}, {_sq(CONTRACTION_PIECES)})"
+    return (f"CASE WHEN contains({expr}, {quote}) THEN "
             f"array_to_string(list_transform({pieces}, lambda t: {fix}), '') ELSE {expr} END")
 
 

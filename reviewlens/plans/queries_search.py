@@ -134,14 +134,9 @@ def q_breed_children(spark, sf_dir):
 
 
 def _helpfulness_model(spark, sf_dir):
-    """Scorer for the search: fit on the mk1 table; when no product passes
-    mk1's product filters (tiny inputs) every review labelled with its
-    smoothed vote ratio is the training set instead."""
+    """Scorer for the search: fit on every review, labelled with its smoothed vote ratio."""
     from reviewlens.operators.votes import smoothed_ratio
-    r = reviews(spark, sf_dir)
-    train = TS.make_dataset_mk1(r, seed=0)
-    if train.limit(1).count() == 0:
-        train = r.select("review_text", smoothed_ratio().alias("label"))
+    train = reviews(spark, sf_dir).select("review_text", smoothed_ratio().alias("label"))
     return M.fit_helpfulness(train, max_iter=10)
 
 

@@ -207,15 +207,16 @@ WITH s AS (SELECT doc_id, pos - 1 AS pos, regexp_replace(piece, '^\\s+|\\s+$', '
 ids AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS sentence_id FROM s)
 SELECT CAST(i.sentence_id AS BIGINT) AS sentence_id, i.doc_id, CAST(i.pos AS BIGINT) AS pos,
        i.sentence, e.label::BIGINT AS label
-FROM ids i JOIN embeddings e ON e.vec_id = i.sentence_id
+FROM ids i JOIN embeddings e ON e.vec_id = i.sentence_id % (SELECT count(*) FROM embeddings)
 """)
 def q_labelled_sentences(spark, sf_dir):
-    """Sentence, vector and label aligned by an explicit id (not position)."""
+    """Every sentence with the vector and label of its id (modulo the number of vectors)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", spread_rows=True)
     s = dense_index(dot_sentences(docs, "text", ["doc_id"], min_chars=40),
                     ["doc_id", "pos"], name="sentence_id")
-    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("sentence_id"), "label")
-    return s.join(v, "sentence_id").select("sentence_id", "doc_id", "pos", "sentence", "label")
+    v = vectors(spark, sf_dir).select("vec_id", "label")
+    n = max(v.count(), 1)
+    return s.withColumn("vec_id", F.col("sentence_id") % n).join(v, "vec_id").select("sentence_id", "doc_id", "pos", "sentence", "label")
 
 
 @register("pair_score_stats", f"""

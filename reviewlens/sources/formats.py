@@ -81,4 +81,4 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.col("value"), " ")
     return spark.read.text(path).select(
         F.element_at(parts, 1).alias("word"),
-        F.transform(F.slice(parts, 2, 1 << 16), lambda x: x.cast("double")).alias("vec"))
+        F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.cast("double")).alias("vec"))

@@ -1,9 +1,7 @@
-"""Spark vs DuckDB oracle on the smallest scale for the fast queries, plus the
-streaming vote counts against the batch aggregate."""
+"""Spark vs DuckDB oracle on the smallest scale for the fast queries."""
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -27,15 +25,3 @@ def test_entry(spark):
     from __spark_entry__ import entry
     df = entry(spark)
     assert df.count() > 0 and "n_reviews" in df.columns
-
-
-def test_stream_matches_batch(spark):
-    from reviewlens.sources.tables import review_votes
-    from reviewlens.streaming.votes_stream import run_once
-    sf = "/root/testdata/sf0.001"
-    n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    d = tempfile.mkdtemp(prefix="rl-stream-")
-    os.symlink(f"{sf}/events.parquet", f"{d}/events.parquet")
-    got = run_once(spark, d, n, tempfile.mkdtemp(prefix="rl-ckpt-"))
-    want = review_votes(spark, sf, n)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
