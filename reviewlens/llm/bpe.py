@@ -157,8 +157,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-@lru_cache(maxsize=2)
 def _store(path: str, pattern: str) -> Store:
+    """A task's own store, so that an idle Python worker doesn't hold one."""
     return Store(vocabulary(path, pattern).encode_units)
 
 
