@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlens.functions.hashing import sql_hash32, sql_randint
+from reviewlens.functions.hashing import sql_hash32, sql_randint, sql_uniform
 from reviewlens.functions.text import length_penalty
 from reviewlens.operators import models as M
 from reviewlens.operators import search as S
@@ -56,13 +56,54 @@ def q_length_penalty(spark, sf_dir):
                                 length_penalty(n).alias("penalty")))
 
 
-@register("initial_population", with_reviews(_CANDS_SQL + f"""
-SELECT grp, ind, array_to_string(CASE WHEN {_LEN} <= n_cand
-    THEN list_transform(list_sort(list_transform(range(0, n_cand), lambda v:
-           {{'h': {sql_hash32("'0'", "'perm'", 'grp', 'ind', 'v')}, 'v': v}})), lambda s: s.v)[1:{_LEN}]
+def _sql_free_id(held: str, r: str) -> str:
+    return (f"(({r}) + len(list_filter(list_transform(list_sort({held}), lambda v, k: v - k + 1), "
+            f"lambda free: free <= ({r}))))::BIGINT")
+
+
+_NEW_ID = _sql_free_id("held", sql_randint("0", "n_cand - len(held)", "'0'", "'new'", "grp", "ind", "i[1]"))
+_POP_SQL = _CANDS_SQL + f""",
+pop AS (SELECT grp, n_cand, ind, CASE WHEN {_LEN} <= n_cand
+    THEN list_reduce(list_transform(range(1, {_LEN} + 1), lambda i: [i]),
+                     lambda held, i: list_append(held, {_NEW_ID}), []::BIGINT[])
     ELSE list_transform(range(1, {_LEN} + 1), lambda i:
-           {sql_randint('0', 'n_cand', "'0'", "'rep'", 'grp', 'ind', 'i')}) END, ' ') AS genes
-FROM inds
+           {sql_randint('0', 'n_cand', "'0'", "'rep'", 'grp', 'ind', 'i')}) END AS genes
+FROM inds)
+"""
+
+
+def _sql_crossover(p: str, coin: str) -> str:
+    return (f"CASE WHEN {coin} < 0.5 THEN x1[1:{p}] || x2[{p} + 1:len(x2)] "
+            f"ELSE x2[1:{p}] || x1[{p} + 1:len(x1)] END")
+
+
+def _sql_mutate(x: str, *parts: str) -> str:
+    """Thirds of replace, remove (not at 5 genes) and add (not at 20)."""
+    u, size = sql_uniform(*parts, "'op'"), f"len({x})"
+    idx, val = sql_randint("0", size, *parts, "'idx'"), sql_randint("0", "n_cand", *parts, "'val'")
+    rm = f"CASE WHEN {size} <= 5 THEN 0.0::DOUBLE ELSE 0.33::DOUBLE END"
+    add = f"CASE WHEN {size} > 5 AND {size} >= 20 THEN 0.0::DOUBLE ELSE 0.33::DOUBLE END"
+    tot = f"(0.33::DOUBLE + {rm} + {add})"
+    return f"""CASE WHEN {u} < 0.33::DOUBLE / {tot}
+        THEN {x}[1:{idx}] || [{val}] || {x}[{idx} + 2:{size}]
+      WHEN {u} < (0.33::DOUBLE + {rm}) / {tot} THEN {x}[1:{idx}] || {x}[{idx} + 2:{size}]
+      ELSE {x}[1:{idx}] || [{val}] || {x}[{idx} + 1:{size}] END"""
+
+
+def _sql_without_repeats(x: str, *parts: str) -> str:
+    at = (f"list_transform({x}, lambda g, i: {{'g': g, 'h': "
+          f"{sql_hash32(*parts, chr(39) + 'stay' + chr(39), 'i - 1')}, 'i': i - 1}})")
+    again = (f"list_filter({at}, lambda a: len(list_filter({at}, lambda b: b.g = a.g AND "
+             f"(b.h < a.h OR (b.h = a.h AND b.i < a.i)))) > 0)")
+    free = "(n_cand - len(list_distinct(held)))"
+    new = _sql_free_id("list_distinct(held)", sql_randint("0", free, *parts, "'fill'", "place[1]"))
+    return f"""list_reduce(list_transform({again}, lambda a: [a.i]), lambda held, place:
+        CASE WHEN {free} > 0 THEN list_transform(held, lambda g, i:
+            CASE WHEN i - 1 = place[1] THEN {new} ELSE g END) ELSE held END, {x})"""
+
+
+@register("initial_population", with_reviews(_POP_SQL + """
+SELECT grp, ind, array_to_string(genes, ' ') AS genes FROM pop
 """))
 def q_initial_population(spark, sf_dir):
     pop = S.initial_population(_cands(spark, sf_dir), CFG)
@@ -78,59 +119,126 @@ def _scored_population(spark, sf_dir):
     return pop.withColumn("fitness", fit), cands
 
 
-@register("select_parents")
+_FIT = "(len(genes) / 20.0::DOUBLE) * (1.0::DOUBLE - ind / 200.0::DOUBLE)"
+_W = "(a.fitness * b.fitness + 0.1::DOUBLE)"
+
+
+def _sql_parents(n_pairs: int) -> str:
+    u = f"(({sql_hash32(chr(39) + '0' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'sel' + chr(39), 'a.grp', 'a.ind', 'b.ind')} + 1) / 4294967297.0::DOUBLE)"
+    return f""",
+scored AS (SELECT *, {_FIT} AS fitness FROM pop),
+parents AS (SELECT a.grp, row_number() OVER (PARTITION BY a.grp ORDER BY -ln({u}) / {_W}, a.ind, b.ind) - 1 AS child,
+              a.ind AS i, b.ind AS j
+            FROM scored a JOIN scored b ON a.grp = b.grp AND a.ind >= b.ind
+            QUALIFY child < {n_pairs})
+"""
+
+
+def _sql_breed(crossings: str) -> str:
+    """CTEs from (grp, child, n_cand, x1, x2) to kids (grp, child, genes)."""
+    parts = ("'0'", "'0'", "grp", "child")
+    p = sql_randint("0", "least(len(x1), len(x2))", *parts, "'cx'")
+    return f""",
+crossings AS ({crossings}),
+crossed AS (SELECT grp, child, n_cand, {_sql_crossover(p, sql_uniform(*parts, "'coin'"))} AS x FROM crossings),
+mutated AS (SELECT grp, child, n_cand, {_sql_mutate('x', *parts)} AS x FROM crossed),
+kids AS (SELECT grp, child, {_sql_without_repeats('x', *parts)} AS genes FROM mutated)
+"""
+
+
+_NEIGHBOURS = """SELECT a.grp, a.ind AS child, a.n_cand, a.genes AS x1, b.genes AS x2
+                 FROM pop a JOIN pop b ON a.grp = b.grp AND b.ind = a.ind + 1"""
+
+
+def _neighbours(pop, cands):
+    a = pop.select("grp", F.col("ind").alias("child"), F.col("genes").alias("x1"))
+    b = pop.select("grp", (F.col("ind") - 1).alias("child"), F.col("genes").alias("x2"))
+    return a.join(b, ["grp", "child"]).join(cands, "grp")
+
+
+def _joined(genes):
+    return F.array_join(genes.cast("array<string>"), " ")
+
+
+@register("select_parents", with_reviews(_POP_SQL + _sql_parents(91) + "SELECT grp, child, i, j FROM parents"))
 def q_select_parents(spark, sf_dir):
     """G3 + G4: 91 weighted parent pairs per product (i >= j)."""
     pop, _ = _scored_population(spark, sf_dir)
     return S.selection_pairs(pop, CFG.population - CFG.n_elite, CFG.seed, 0)
 
 
-@register("crossover")
+@register("crossover", with_reviews(_POP_SQL + f"""
+SELECT grp, child AS ind, len(x1) AS n1, len(x2) AS n2, array_to_string({_sql_crossover(
+    sql_randint("0", "least(len(x1), len(x2))", "'0'", "'0'", "grp", "child", "'cx'"),
+    "(child % 2 / 2.0 + 0.25)")}, ' ') AS child
+FROM ({_NEIGHBOURS})
+"""))
 def q_crossover(spark, sf_dir):
     """Children of consecutive individuals (ind, ind + 1)."""
-    pop, _ = _scored_population(spark, sf_dir)
-    a = pop.select("grp", "ind", F.col("genes").alias("x1"))
-    b = pop.select("grp", (F.col("ind") - 1).alias("ind"), F.col("genes").alias("x2"))
-    j = a.join(b, ["grp", "ind"])
-    parts = (0, 0, F.col("grp"), F.col("ind"))
-    child = S.crossover(F.col("x1"), F.col("x2"), S.crossover_point("x1", "x2", *parts, "cx"),
-                        F.col("ind").cast("double") % 2 / 2.0 + .25)
-    return j.select("grp", "ind", F.size("x1").alias("n1"), F.size("x2").alias("n2"),
-                    F.array_join(child.cast("array<string>"), " ").alias("child"))
+    j = _neighbours(*_scored_population(spark, sf_dir))
+    point = S.crossover_point(F.col("x1"), F.col("x2"), 0, 0, F.col("grp"), F.col("child"), "cx")
+    child = S.crossover(F.col("x1"), F.col("x2"), point, F.col("child").cast("double") % 2 / 2.0 + .25)
+    return normalise(j.select("grp", F.col("child").alias("ind"), F.size("x1").alias("n1"),
+                              F.size("x2").alias("n2"), _joined(child).alias("child")))
 
 
-@register("mutate")
+@register("mutate", with_reviews(_POP_SQL + f"""
+SELECT grp, ind, len(genes) AS n_before, len(x) AS n_after, array_to_string(x, ' ') AS genes
+FROM (SELECT *, {_sql_mutate("genes", "'0'", "'0'", "grp", "ind", "'mut'")} AS x FROM pop)
+"""))
 def q_mutate(spark, sf_dir):
     """One mutation of every individual; length stays in 5..20."""
     pop, cands = _scored_population(spark, sf_dir)
-    j = pop.join(cands, "grp")
     m = S.mutate(F.col("genes"), F.col("n_cand"), CFG, 0, 0, F.col("grp"), F.col("ind"), "mut")
-    return j.select("grp", "ind", F.size("genes").alias("n_before"), F.size(m).alias("n_after"),
-                    F.array_join(m.cast("array<string>"), " ").alias("genes"))
+    j = pop.join(cands, "grp").withColumn("x", m)
+    return normalise(j.select("grp", "ind", F.size("genes").alias("n_before"), F.size("x").alias("n_after"),
+                              _joined(F.col("x")).alias("genes")))
 
 
-@register("dedupe_genes")
+@register("dedupe_genes", with_reviews(_POP_SQL + f"""
+SELECT grp, ind, len(list_distinct(doubled)) AS distinct_before, len(list_distinct(x)) AS distinct_after,
+       array_to_string(x, ' ') AS genes
+FROM (SELECT *, {_sql_without_repeats("doubled", "'0'", "grp", "ind")} AS x
+      FROM (SELECT *, genes || genes[1:3] AS doubled FROM pop))
+"""))
 def q_dedupe_genes(spark, sf_dir):
     """Duplicates of a doubled individual replaced by unused candidates."""
     pop, cands = _scored_population(spark, sf_dir)
     j = pop.join(cands, "grp").withColumn("doubled", F.concat("genes", F.slice("genes", 1, 3)))
-    d = S.dedupe_udf()(F.col("doubled"), F.col("n_cand"), F.concat_ws("|", "grp", "ind"))
-    return j.select("grp", "ind", F.size(F.array_distinct("doubled")).alias("distinct_before"),
-                    F.size(F.array_distinct(d)).alias("distinct_after"),
-                    F.array_join(d.cast("array<string>"), " ").alias("genes"))
+    j = j.withColumn("x", S.without_repeats(F.col("doubled"), F.col("n_cand"), 0, F.col("grp"), F.col("ind")))
+    return normalise(j.select("grp", "ind", F.size(F.array_distinct("doubled")).alias("distinct_before"),
+                              F.size(F.array_distinct("x")).alias("distinct_after"),
+                              _joined(F.col("x")).alias("genes")))
 
 
-@register("breed_children")
+@register("breed_children", with_reviews(_POP_SQL + _sql_breed(_NEIGHBOURS) + """
+SELECT grp, child AS ind, len(genes) AS n_genes, len(list_distinct(genes)) AS n_distinct,
+       array_to_string(genes, ' ') AS genes
+FROM kids
+"""))
 def q_breed_children(spark, sf_dir):
     """G5 + G6 + G7 in one step: children of pairs (ind, ind + 1)."""
+    kids = S.breed(_neighbours(*_scored_population(spark, sf_dir)), CFG, 0)
+    return normalise(kids.select("grp", F.col("child").alias("ind"), F.size("genes").alias("n_genes"),
+                                 F.size(F.array_distinct("genes")).alias("n_distinct"),
+                                 _joined(F.col("genes")).alias("genes")))
+
+
+_PAIRED = """SELECT p.grp, p.child, a.n_cand, a.genes AS x1, b.genes AS x2 FROM parents p
+             JOIN pop a ON a.grp = p.grp AND a.ind = p.i JOIN pop b ON b.grp = p.grp AND b.ind = p.j"""
+
+
+@register("next_generation", with_reviews(_POP_SQL + _sql_parents(91) + _sql_breed(_PAIRED) + """
+SELECT grp, ind, array_to_string(genes, ' ') AS genes FROM (
+  SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY fitness DESC, scored.ind) - 1 AS ind, genes
+  FROM scored QUALIFY row_number() OVER (PARTITION BY grp ORDER BY fitness DESC, scored.ind) <= 5
+  UNION ALL SELECT grp, child + 5, genes FROM kids)
+"""))
+def q_next_generation(spark, sf_dir):
+    """5 elites and 91 children of every product."""
     pop, cands = _scored_population(spark, sf_dir)
-    a = pop.select("grp", "ind", F.col("genes").alias("x1"))
-    b = pop.select("grp", (F.col("ind") - 1).alias("ind"), F.col("genes").alias("x2"))
-    j = a.join(b, ["grp", "ind"]).join(cands, "grp")
-    kid = S.breed_udf(CFG)("x1", "x2", "n_cand", "grp", "ind", F.lit(0).cast("bigint"))
-    return j.select("grp", "ind", F.size(kid).alias("n_genes"),
-                    F.size(F.array_distinct(kid)).alias("n_distinct"),
-                    F.array_join(kid.cast("array<string>"), " ").alias("genes"))
+    nxt = S.next_generation(pop, cands, CFG, 0)
+    return nxt.select("grp", "ind", _joined(F.col("genes")).alias("genes"))
 
 
 def _helpfulness_model(spark, sf_dir):
