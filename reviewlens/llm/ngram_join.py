@@ -12,7 +12,9 @@ Since only components are asked for, pairs inside one aren't formed.  Sets are f
 compared with the leaders of their home list (the posting list of their first shingle
 that another set has); next, a few pairs for each two components that meet in lists; and at last
 all candidate pairs between sets that are still in different components, which makes
-the result whole.  The order's frequencies are those of at most ``COMMON`` shingles that are
+the result whole.  Before a pair's sets are moved, their parity maps are compared (bit i:
+whether an odd number of shingles have remainder i).  Bits that differ are at most
+as many as the shingles that only one set has, so no link is lost.  The order's frequencies are those of at most ``COMMON`` shingles that are
 frequent among AT_ONCE of a task; any order is right, a better one only shortens lists.
 
 Defined cases: texts without words (null, empty) have no shingle and are their own
@@ -42,6 +44,7 @@ MET = 4  # lists in which those pairs meet, at least
 TRIED = (3, 8)  # pairs for each two components in the turns of the second step
 LARGE = 256
 FIRST = 3  # partners that each set tries before the rest
+PARITY = 4  # bits of a set's parity map per shingle, at least
 
 
 def overlap(n, percent: int = PERCENT):
@@ -196,7 +199,8 @@ def _chosen(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set, content): the sorted 48-bit shingles of the wanted sets, and of a few more."""
+    """(set, n, parity, content): parity map and sorted 48-bit shingles of the wanted sets and
+    of a few more, once per batch that a set is in."""
     spark = docs.sparkSession
     keep = spark.sparkContext.broadcast(bloom.build(wanted, "set", wanted.count()))
 
@@ -207,11 +211,28 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 first = np.zeros(part.num_rows, bool)
                 first[np.unique(ids, return_index=True)[1]] = True
                 use = np.flatnonzero(first & keep.value.has(ids) & (np.diff(bounds) > 0))
-                out = [_pack(hashes[bounds[i]:bounds[i + 1]]) for i in use]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(out, pa.binary())], ["set", "content"])
+                own = [hashes[bounds[i]:bounds[i + 1]] for i in use]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[use]), pa.array(np.diff(bounds)[use]), pa.array(map(parity, own), pa.binary()),
+                     pa.array(map(_pack, own), pa.binary())], ["set", "n", "parity", "content"])
+
+    return shared.written(docs.select("text").mapInArrow(run, "set long, n long, parity binary, content binary"),
+                          "ngram-contents")
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Bit i: whether the number of hashes with remainder i by the map's length is odd."""
+    length = max(64, 1 << (PARITY * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(length - 1)).astype(np.int64), minlength=length) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    return docs.select("text").mapInArrow(run, "set long, content binary").groupBy("set").agg(
-        F.first("content").alias("content"))
+
+def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int = PERCENT) -> bool:
+    """Whether sets with these sizes and parity maps can link; a longer map is folded."""
+    least = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in (a, b))
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return 100 * (na + nb - apart) >= percent * (na + nb + apart)
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -235,14 +256,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """(set, component): sets joined to a leader of their home list."""
-    rows = contents.join(chosen.select("set", "n", "home"), "set")
+    rows = contents.select("set", "n", "content").join(chosen.select("set", "home"), "set")
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        now, leaders = None, []
+        now, leaders, last = None, [], None
         for batch in batches:
-            out = []
+            names, out = [], []
             for home, name, content in zip(*(batch.column(c).to_pylist() for c in ("home", "set", "content"))):
+                if name == last:  # from another batch
+                    continue
+                last = name
+                names.append(name)
                 if home != now:
                     now, leaders = home, []
                 own = _unpack(content)
@@ -250,7 +275,7 @@ def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
                 if mine is None:
                     leaders = [(name, own), *leaders][:LEADERS]
                 out.append(name if mine is None else mine)
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(out, pa.int64())], ["set", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.int64())], ["set", "component"])
 
     return shared.written(rows.select("home", "set", "n", "content").repartition(parts, "home")
                           .sortWithinPartitions("home", "n", "set")
@@ -258,19 +283,40 @@ def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
 
 
 def _some(contents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contents of the wanted sets and of a few more."""
+    """The contents of the wanted sets and of a few more, each set once."""
     keep = contents.sparkSession.sparkContext.broadcast(bloom.build(wanted, "set", wanted.count()))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(keep.value.has(batch.column("set").to_numpy())))
 
-    return contents.mapInArrow(run, contents.schema)
+    return contents.mapInArrow(run, contents.schema).groupBy("set").agg(
+        *[F.first(c).alias(c) for c in contents.columns if c != "set"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
+
+
+def _near(contents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity maps allow a link, with all columns."""
+    maps = _some(contents.select("set", "n", "parity"), _ends(pairs))
+    columns = pairs.columns
+    both = (pairs.join(maps.select(F.col("set").alias("x"), F.col("n").alias("_nx"), F.col("parity").alias("_px")), "x")
+            .join(maps.select(F.col("set").alias("y"), F.col("n").alias("_ny"), F.col("parity").alias("_py")), "y"))
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(*four, percent) for four in
+                  zip(*(batch.column(c).to_pylist() for c in ("_nx", "_px", "_ny", "_py")))]
+            yield batch.select(columns).filter(pa.array(ok, pa.bool_()))
+
+    return shared.written(both.mapInArrow(run, pairs.schema), "ngram-near")
 
 
 def _verified(contents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that link."""
-    contents = _some(contents, pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
+    contents = _some(contents.select("set", "content"), _ends(pairs))
     both = (pairs.select("x", "y").join(contents.select(F.col("set").alias("x"), F.col("content").alias("cx")), "x")
             .join(contents.select(F.col("set").alias("y"), F.col("content").alias("cy")), "y"))
 
@@ -357,14 +403,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE,
     rows = _prefixes(source, _common(source, size), size, percent)
     postings = _postings(rows)
     chosen = shared.written(_chosen(postings, percent), "ngram-chosen")
-    contents = shared.written(_contents(source, chosen, size), "ngram-contents")
+    contents = _contents(source, chosen, size)
     labels = _led(contents, chosen, percent)
     for turn in range(len(TRIED)):
         pairs = shared.written(_met(_in_lists(postings, chosen, labels, percent), labels, turn), "ngram-met")
         if not pairs.limit(1).count():
             break
-        labels = _relabelled(labels, _verified(contents, pairs, percent))
+        labels = _relabelled(labels, _verified(contents, _near(contents, pairs, percent), percent))
     pairs = shared.written(_candidates(_in_lists(postings, chosen, labels, percent), percent), "ngram-candidates")
+    pairs = _near(contents, pairs, percent)
     for end in ("x", "y"):  # the likeliest partners first; what they join needs no more pairs
         if not pairs.limit(1).count():
             break
