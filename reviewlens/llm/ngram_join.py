@@ -255,31 +255,37 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """(set, component): sets joined to a leader of their home list."""
-    rows = contents.select("set", "n", "content").join(chosen.select("set", "home"), "set")
+    """(set, component): sets joined to a leader of their home list.
+
+    The parity maps choose the leader, as contents are several times as large; a set whose
+    contents don't link with it stays alone, for the next steps.
+    """
+    rows = contents.select("set", "n", "parity").join(chosen.select("set", "home"), "set")
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         now, leaders, last = None, [], None
         for batch in batches:
             names, out = [], []
-            for home, name, content in zip(*(batch.column(c).to_pylist() for c in ("home", "set", "content"))):
+            for home, name, n, own in zip(*(batch.column(c).to_pylist() for c in ("home", "set", "n", "parity"))):
                 if name == last:  # from another batch
                     continue
                 last = name
-                names.append(name)
                 if home != now:
                     now, leaders = home, []
-                own = _unpack(content)
-                mine = next((x for x, other in leaders if linked(other, own, percent)), None)
+                mine = next((x for x, m, other in leaders if may_link(m, other, n, own, percent)), None)
                 if mine is None:
-                    leaders = [(name, own), *leaders][:LEADERS]
-                out.append(name if mine is None else mine)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.int64())], ["set", "component"])
+                    leaders = [(name, n, own), *leaders][:LEADERS]
+                names.append(name)
+                out.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.int64())], ["x", "y"])
 
-    return shared.written(rows.select("home", "set", "n", "content").repartition(parts, "home")
-                          .sortWithinPartitions("home", "n", "set")
-                          .select("home", "set", "content").mapInArrow(run, "set long, component long"), "ngram-led")
+    tried = shared.written(rows.repartition(parts, "home").sortWithinPartitions("home", "n", "set")
+                           .select("home", "set", "n", "parity").mapInArrow(run, "x long, y long"), "ngram-led")
+    links = _verified(contents, tried.filter("y IS NOT NULL"), percent)
+    return shared.written(tried.select(F.col("x").alias("set")).join(
+        links.select(F.col("x").alias("set"), "y"), "set", "left").select(
+        "set", F.coalesce("y", "set").alias("component")), "ngram-labels")
 
 
 def _some(contents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -356,7 +362,7 @@ def _met(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     turn only pairs of components are tried between which LARGE or more pairs are possible.
     """
     pick = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set")
-    ends = lists.groupBy("shingle", "component").agg(F.min(pick)["set"].alias("set"))
+    ends = shared.written(lists.groupBy("shingle", "component").agg(F.min(pick)["set"].alias("set")), "ngram-ends")
     centre = ends.groupBy("shingle").agg(F.min(F.struct("component", "set")).alias("c"))
     star = ends.join(centre, "shingle").filter(F.col("component") != F.col("c.component")).groupBy(
         F.col("c.component").alias("a"), F.col("component").alias("b"),
