@@ -29,7 +29,7 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx",
     between the count pass and the numbering pass.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mono", F.monotonically_increasing_id()))
@@ -67,7 +67,7 @@ def group_rank(df: DataFrame, key: list[str], order: list[Column | str],
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     key_cols = [F.col(k) for k in key]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = cut_lineage(df.repartitionByRange(n, *key_cols, *order_cols)
                          .sortWithinPartitions(*key_cols, *order_cols)
                          .withColumn("_pid", F.spark_partition_id())

@@ -1,8 +1,8 @@
 """Registered vector / cluster queries over ``embeddings`` (A4, A5, A8, A9, A12,
 J2, J3, J5, J9, J10, M13, M14, R7, U3, U5, W2-W5, F11, F12, F21).
 
-The whole embeddings table is one group (``grp = 0``): the hot-key case every
-operator here has to survive.  Second labeling for drift: ``vec_id % 7``.
+A vector belongs to the product of the document with its id (modulo the number of
+documents).  Second labeling for drift: ``vec_id % 7``.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from reviewlens.sources.tables import table
 
 
 def vectors(spark, sf_dir):
+    """grp (product), vec_id, vec, label."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    # the fixture is one group; the key is computed from the row (not a literal)
-    # so joins on it stay equi-joins, the shape they have with real product keys
-    return e.select((F.col("vec_id") * 0).cast("bigint").alias("grp"), "vec_id",
-                    F.col("embedding").cast("array<double>").alias("vec"),
-                    F.col("label").cast("bigint").alias("label"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_n"))
+    product = docs.select("doc_id", F.concat("source", F.lit("-"), "lang").alias("grp"))
+    return (e.join(F.broadcast(n))  # one row
+            .withColumn("doc_id", F.col("vec_id") % F.col("_n")).join(product, "doc_id")
+            .select("grp", "vec_id", F.col("embedding").cast("array<double>").alias("vec"),
+                    F.col("label").cast("bigint").alias("label")))
 
 
-E_SQL = "(SELECT 0::BIGINT AS grp, vec_id, embedding::DOUBLE[] AS vec, label::BIGINT AS label FROM embeddings)"
+E_SQL = """(SELECT d.source || '-' || d.lang AS grp, vec_id, embedding::DOUBLE[] AS vec, label::BIGINT AS label
+ FROM embeddings JOIN documents d ON d.doc_id = vec_id % (SELECT count(*) FROM documents))"""
 CENT_SQL = f"""
 cd AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM {E_SQL} e),
 cent AS (SELECT label, list(x ORDER BY dim) AS centroid
@@ -38,6 +42,16 @@ dist AS (SELECT e.label, e.vec_id, list_distance(e.vec, c.centroid) AS dist
 """
 
 
+# the centres of each product's clusters, and all pairs of a product's vectors and centres
+PRODUCT_SQL = f"""
+pd AS (SELECT grp, label, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM {E_SQL} e),
+pc AS (SELECT grp, label, list(x ORDER BY dim) AS centroid
+       FROM (SELECT grp, label, dim, avg(x) AS x FROM pd GROUP BY grp, label, dim) GROUP BY grp, label),
+s AS (SELECT c.grp, c.label AS centre, e.vec_id, list_cosine_similarity(e.vec, c.centroid) AS sim
+      FROM {E_SQL} e JOIN pc c USING (grp))
+"""
+
+
 @register("cluster_centroids", f"""
 SELECT label, CAST(dim - 1 AS BIGINT) AS dim, round(avg(x), 6) AS value, count(*) AS size
 FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM {E_SQL} e)
@@ -50,9 +64,9 @@ def q_cluster_centroids(spark, sf_dir):
 
 
 @register("cluster_sizes_weights", f"""
-SELECT label, count(*) AS size, round(count(*) / sum(count(*)) OVER (), 6) AS weight,
-       CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS label_order
-FROM {E_SQL} e GROUP BY label
+SELECT grp, label, count(*) AS size, round(count(*) / sum(count(*)) OVER (PARTITION BY grp), 6) AS weight,
+       CAST(row_number() OVER (PARTITION BY grp ORDER BY label) - 1 AS BIGINT) AS label_order
+FROM {E_SQL} e GROUP BY grp, label
 """)
 def q_cluster_sizes_weights(spark, sf_dir):
     s = VO.cluster_sizes(vectors(spark, sf_dir), ["grp", "label"])
@@ -61,34 +75,31 @@ def q_cluster_sizes_weights(spark, sf_dir):
     s = s.withColumn("label_order",
                      (F.row_number().over(Window.partitionBy("grp").orderBy("label")) - 1)
                      .cast("bigint"))
-    return normalise(s.select("label", "size", "weight", "label_order"))
+    return normalise(s.select("grp", "label", "size", "weight", "label_order"))
 
 
 @register("cosine_to_centres", f"""
-WITH {CENT_SQL.strip()}
-SELECT c.label AS centre, e.vec_id, round(list_cosine_similarity(e.vec, c.centroid), 6) AS sim
-FROM {E_SQL} e JOIN cent c ON e.grp = 0
+WITH {PRODUCT_SQL.strip()}
+SELECT grp, centre, vec_id, round(sim, 6) AS sim FROM s
 """)
 def q_cosine_to_centres(spark, sf_dir):
     v = vectors(spark, sf_dir)
     cents = VO.centroids(v, ["grp", "label"], "vec").withColumnRenamed("label", "centre")
     s = VO.similarity_to_centres(v, cents, "grp", "vec_id", "vec")
-    return normalise(s.select("centre", "vec_id", "sim"))
+    return normalise(s.select("grp", "centre", "vec_id", "sim"))
 
 
 @register("nearest_sentence_per_centre", f"""
-WITH {CENT_SQL.strip()},
-s AS (SELECT c.label AS centre, e.vec_id, list_cosine_similarity(e.vec, c.centroid) AS sim
-      FROM {E_SQL} e JOIN cent c ON e.grp = 0)
-SELECT centre, first(vec_id ORDER BY sim DESC, vec_id) AS vec_id, round(max(sim), 6) AS sim
-FROM s GROUP BY centre
+WITH {PRODUCT_SQL.strip()}
+SELECT grp, centre, first(vec_id ORDER BY round(sim, 9) DESC, vec_id) AS vec_id, round(max(sim), 6) AS sim
+FROM s GROUP BY grp, centre
 """)
 def q_nearest_sentence_per_centre(spark, sf_dir):
     v = vectors(spark, sf_dir)
     cents = VO.centroids(v, ["grp", "label"], "vec").withColumnRenamed("label", "centre")
     s = VO.similarity_to_centres(v, cents, "grp", "vec_id", "vec")
     return normalise(VO.nearest_per_centre(s, "grp", "centre", "vec_id")
-                     .select("centre", "vec_id", "sim"))
+                     .select("grp", "centre", "vec_id", "sim"))
 
 
 @register("nearest_members", f"""
@@ -136,18 +147,16 @@ def q_cluster_report(spark, sf_dir):
 
 
 @register("candidate_sample", f"""
-WITH {CENT_SQL.strip()},
-s AS (SELECT c.label AS centre, e.vec_id, list_cosine_similarity(e.vec, c.centroid) AS sim,
-             CAST(row_number() OVER (PARTITION BY c.label ORDER BY list_cosine_similarity(e.vec, c.centroid) DESC,
-                                     e.vec_id) AS BIGINT) AS rank
-      FROM {E_SQL} e JOIN cent c ON e.grp = 0)
-SELECT centre, vec_id, round(sim, 6) AS sim, rank FROM s
-WHERE rank <= ceil(25 / (SELECT count(*) FROM cent))
+WITH {PRODUCT_SQL.strip()},
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp, centre ORDER BY round(sim, 9) DESC, vec_id) AS BIGINT) AS rank
+      FROM s)
+SELECT grp, centre, vec_id, round(sim, 6) AS sim, rank
+FROM r JOIN (SELECT grp, count(*) AS n FROM pc GROUP BY grp) USING (grp) WHERE rank <= ceil(25 / n)
 """)
 def q_candidate_sample(spark, sf_dir):
     v = vectors(spark, sf_dir)
     c = VO.candidate_sample(v, v, "grp", "vec_id", 25, "vec")
-    return normalise(c.select("centre", "vec_id", "sim", "rank"))
+    return normalise(c.select("grp", "centre", "vec_id", "sim", "rank"))
 
 
 @register("cluster_drift", """

@@ -36,11 +36,10 @@ def get_spark(app: str = "reviewlens", cpus: int | str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset.
+    """Return the shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read from
-    the session.  Only when nothing is configured (tests, local runs) a fresh
-    scratch folder is made.
+    Only a local session (tests, bench) gets a scratch folder where none is set; on a
+    cluster that would be one machine's folder, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

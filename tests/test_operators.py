@@ -39,12 +39,17 @@ def _dbscan_numpy(ids, X, eps, ms):
     return dict(zip(ids.tolist(), label.tolist())), dict(zip(ids.tolist(), core.tolist()))
 
 
-@pytest.mark.parametrize("eps,ms", [(1.15, 3), (1.10, 2)])
-def test_dbscan_matches_brute_force(spark, eps, ms):
-    v = vectors(spark, SF001)
-    params = spark.range(1).select(F.lit(0).cast("bigint").alias("grp"), F.lit(eps).alias("eps"),
-                                   F.lit(ms).alias("min_samples"))
-    got = {r.vec_id: (r.label, r.is_core) for r in C.dbscan(v, params, ["grp"], "vec_id").collect()}
+def _whole_table(spark, eps, ms):
+    """All vectors as one group, and its parameters."""
+    v = vectors(spark, SF001).withColumn("grp", F.lit("all"))
+    return v, spark.createDataFrame([("all", eps, ms)], "grp string, eps double, min_samples int")
+
+
+@pytest.mark.parametrize("eps,ms,tile", [(1.15, 3, 4096), (1.10, 2, 16), (1e-6, 2, 16)])
+def test_dbscan_matches_brute_force(spark, eps, ms, tile):
+    v, params = _whole_table(spark, eps, ms)
+    got = {r.vec_id: (r.label, r.is_core)
+           for r in C.dbscan(v, params, ["grp"], "vec_id", tile_rows=tile).collect()}
     rows = v.select("vec_id", "vec").collect()
     ids = np.array([r.vec_id for r in rows])
     X = np.array([r.vec for r in rows], dtype=float)
@@ -53,14 +58,47 @@ def test_dbscan_matches_brute_force(spark, eps, ms):
     assert {k: v[1] for k, v in got.items()} == want_core
 
 
-def test_dbscan_small_tiles_same_labels(spark):
-    """Salting hot bands (tiny tile_rows) must not change the result."""
-    v = vectors(spark, SF001)
-    params = spark.range(1).select(F.lit(0).cast("bigint").alias("grp"), F.lit(1.15).alias("eps"),
-                                   F.lit(3).alias("min_samples"))
-    a = C.dbscan(v, params, ["grp"], "vec_id", tile_rows=4096)
-    b = C.dbscan(v, params, ["grp"], "vec_id", tile_rows=16)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_blocks_are_bounded_and_pruned(spark):
+    """No block is larger than the tile in one hot group on a line, and far blocks don't meet."""
+    pts = spark.range(1000).select(F.lit("hot").alias("grp"), "id",
+                                   F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
+    params = spark.createDataFrame([("hot", 2.0)], "grp string, eps double")
+    placed = C.blocks(pts, ["grp"], 50)
+    assert max(r["count"] for r in placed.groupBy("block").count().collect()) == 50
+    pairs = {(r.i, r.j) for r in C.block_pairs(placed, params, ["grp"]).collect()}
+    assert pairs == {(i, j) for i in range(20) for j in (i, i + 1) if j < 20}
+    found = C.neighbour_pairs(pts, params, ["grp"], "id", "v", tile_rows=50)
+    assert {(r.a, r.b) for r in found.collect()} == {
+        (i, i + d) for i in range(1000) for d in (1, 2) if i + d < 1000}
+
+
+def test_autotune_returns_the_parameters_of_its_labels(spark):
+    v = vectors(spark, SF001).withColumn("grp", F.pmod("vec_id", F.lit(3)).cast("string"))
+    labels, params = C.autotune(v, ["grp"], "vec_id", eps=1.0, min_samples=3, min_clusters=5, max_clusters=8, max_iterations=3)
+    got = {(r.grp, r.vec_id): r.label for r in labels.collect()}
+    used = {r.grp: r for r in params.collect()}
+    assert set(used) == {"0", "1", "2"}
+    rows = v.collect()
+    for grp, p in used.items():
+        own = [r for r in rows if r.grp == grp]
+        ids, X = np.array([r.vec_id for r in own]), np.array([r.vec for r in own])
+        eps, ms, n, i = 1.0, 3, 0, 0
+        while n < 5 - i or n > 8:
+            i += 1
+            last = eps, ms
+            want, _ = _dbscan_numpy(ids, X, eps, ms)
+            seen = list(want.values())
+            if n < 5 and max(sorted(set(seen)), key=seen.count) == -1:
+                ms, eps = max(2, ms - 1), eps / 0.85
+            elif n < 5:
+                eps *= 0.6
+            else:
+                ms, eps = ms + 1, eps * 0.85
+            n = len(set(seen)) - 1
+            if i == 3:
+                break
+        assert (p.eps, p.min_samples, p.num_clusters, p.iteration) == (pytest.approx(last[0]), last[1], n, i)
+        assert {k: got[grp, k] for k in want} == want
 
 
 def test_mk2_class_guard(spark):
