@@ -1,4 +1,4 @@
-"""Cluster diagnostics.
+"""Cluster diagnostics.
 
 Pair statistics score every unordered pair inside a cluster with a pluggable
 score function ``(Column, Column) -> Column``.  Pairs are produced by a salted
@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions import vectors as V
-from reviewlens.operators.common import salted_self_pairs
+from reviewlens.operators.common import group_rank, salted_self_pairs
 
 ScoreFn = Callable[[Column, Column], Column]
 
@@ -60,3 +60,43 @@ def pair_score_stats(df: DataFrame, label: str, id_col: str, feat: str,
         (-F.col("_mx.b")).alias("max_b"),
         F.col("_na.a").alias("near_avg_a"), F.col("_na.b").alias("near_avg_b"),
         F.col("_na.score").alias("near_avg_score"))
+
+
+def pair_score_examples(df: DataFrame, label: str, id_col: str, feat: str,
+                        score: ScoreFn = V.cosine, examples: int = 3, bins: int = 4096,
+                        tile_rows: int = 2048) -> DataFrame:
+    """Per cluster the pairs just above the lowest score (``low``), the middle three
+    (``mid``) and those just below the highest (``high``); ``examples // 3`` at either end.
+
+    Pairs are ranked by (score to nine places, ids), but neither sorted nor stored as a
+    whole: a histogram of ``bins`` steps per unit of score (partial aggregates) tells
+    which bins hold the wanted ranks, and only their pairs are ranked, split over
+    tasks by :func:`group_rank`.  A pair in two zones of a small cluster comes twice;
+    clusters without pairs have no row.
+    """
+    a, b = f"{id_col}_a", f"{id_col}_b"
+    k = examples // 3
+    pairs = (pair_scores(df, label, id_col, feat, score, tile_rows).withColumn("score", F.round("score", 9))
+             .withColumn("bin", F.floor(F.col("score") * bins)))
+    held = pairs.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("held"))
+    up_to = Window.partitionBy(label).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(label, "bin", "held", F.coalesce(F.sum("held").over(up_to), F.lit(0)).alias("before"),
+                       F.sum("held").over(Window.partitionBy(label)).alias("n"))
+    mid = F.floor(F.col("n") / 2)
+
+    def zone(name, first, end):
+        first, end = F.greatest(first, F.lit(0)), F.least(end, F.col("n"))
+        ranks = F.when(first < end, F.sequence(first.cast("bigint"), end.cast("bigint") - 1))
+        return F.transform(ranks, lambda r: F.struct(F.lit(name).alias("zone"), r.alias("rank")))
+
+    empty = F.array().cast("array<struct<zone:string,rank:bigint>>")
+    zones = F.concat(*[F.coalesce(z, empty) for z in (
+        zone("low", F.lit(1), F.lit(1 + k)), zone("mid", mid - 1, mid + 2),
+        zone("high", F.col("n") - 1 - k, F.col("n") - 1))])
+    wanted = held.select(label, "bin", "before", "held", F.explode(zones).alias("w")).filter(
+        (F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("held")))
+    wanted = wanted.select(label, "bin", "before", "w.zone", "w.rank")
+    near = pairs.join(wanted.select(label, "bin").distinct(), [label, "bin"])
+    ranked = group_rank(near, [label, "bin"], ["score", a, b], name="_at")
+    return ranked.join(wanted, [label, "bin"]).filter(F.col("before") + F.col("_at") == F.col("rank")).select(
+        label, "zone", "rank", F.col(a).alias("a"), F.col(b).alias("b"), "score")

@@ -24,46 +24,53 @@ def _scratch(spark) -> str:
 
 
 @register("io_round_trips", with_reviews("""
-s AS (SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(ups + inters) AS BIGINT) AS votes
+s AS (SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(ups + inters) AS BIGINT) AS votes,
+             CAST(sum(('0x' || substr(md5(coalesce(review_text, '')), 1, 8))::BIGINT) AS BIGINT) AS texts,
+             count(*) FILTER (WHERE doc_id % 2 = 0) AS named
       FROM reviews)
-SELECT fmt, n AS n_rows, ids AS sum_doc_id, votes AS sum_votes FROM s,
+SELECT fmt, n AS n_rows, ids AS sum_doc_id, votes AS sum_votes, texts AS sum_text_md5,
+       CASE WHEN fmt = 'review_dicts' THEN named ELSE 0 END AS n_named FROM s,
   (SELECT unnest(['review_dicts', 'json_lines', 'csv', 'csv_splits', 'parquet_by_product',
                   'parquet']) AS fmt)
 """))
 def q_io_round_trips(spark, sf_dir):
+    """Every format, with whole texts; the dict lines also hold None for each second name."""
     r = reviews(spark, sf_dir)
     base = _scratch(spark)
     out = []
 
-    def summary(df, name):
+    def summary(df, name, named=None):
+        digest = F.conv(F.substring(F.md5(F.coalesce("review_text", F.lit(""))), 1, 8), 16, 10)
         return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").cast("bigint").alias("sum_doc_id"),
-                      F.sum(F.col("ups") + F.col("inters")).cast("bigint").alias("sum_votes")) \
+                      F.sum(F.col("ups") + F.col("inters")).cast("bigint").alias("sum_votes"),
+                      F.sum(digest.cast("bigint")).alias("sum_text_md5"),
+                      F.count(named or F.lit(None)).alias("n_named")) \
             .select(F.lit(name).alias("fmt"), "*")
 
-    dicts = r.select("asin", "doc_id", F.array("ups", "inters").alias("helpful"), "overall")
+    dicts = r.select("asin", "doc_id", F.array("ups", "inters").alias("helpful"), "overall",
+                     F.col("review_text").alias("reviewText"),
+                     F.when(F.col("doc_id") % 2 == 0, F.lit("O'Neil \"é\"\x07")).alias("reviewerName"))
     FM.write_review_dicts(dicts, f"{base}/s1")
     back = FM.read_review_dicts(spark, f"{base}/s1")
-    out.append(summary(back.select("doc_id", F.col("helpful")[0].alias("ups"),
-                                   F.col("helpful")[1].alias("inters")), "review_dicts"))
-    r.select("asin", "doc_id", "ups", "inters").write.mode("overwrite").json(f"{base}/s2")
-    out.append(summary(FM.read_json_lines(spark, f"{base}/s2",
-                                          "asin STRING, doc_id BIGINT, ups BIGINT, inters BIGINT"),
-                       "json_lines"))
-    FM.write_csv(r.select("doc_id", "review_text", "ups", "inters"), f"{base}/s3")
-    csv_schema = "doc_id BIGINT, review_text STRING, ups BIGINT, inters BIGINT"
-    out.append(summary(FM.read_csv(spark, f"{base}/s3", csv_schema), "csv"))
+    out.append(summary(back.select("doc_id", F.col("helpful")[0].alias("ups"), F.col("helpful")[1].alias("inters"),
+                                   F.col("reviewText").alias("review_text"), "reviewerName"),
+                       "review_dicts", "reviewerName"))
+    columns = ["doc_id", "review_text", "ups", "inters"]
+    schema = "doc_id BIGINT, review_text STRING, ups BIGINT, inters BIGINT"
+    r.select(columns).write.mode("overwrite").json(f"{base}/s2")
+    out.append(summary(FM.read_json_lines(spark, f"{base}/s2", schema), "json_lines"))
+    FM.write_csv(r.select(columns), f"{base}/s3")
+    out.append(summary(FM.read_csv(spark, f"{base}/s3", schema), "csv"))
     sp = F.pmod(F.col("doc_id"), F.lit(3))
     paths = {}
     for i, name in enumerate(("train", "val", "test")):
-        FM.write_csv(r.filter(sp == i).select("doc_id", "review_text", "ups", "inters"),
-                     f"{base}/s4_{name}", header=False)
+        FM.write_csv(r.filter(sp == i).select(columns), f"{base}/s4_{name}", header=False)
         paths[name] = f"{base}/s4_{name}"
-    out.append(summary(FM.read_splits(spark, paths, csv_schema), "csv_splits"))
-    FM.write_by_product(r.select("asin", "doc_id", "ups", "inters"), f"{base}/s6")
-    out.append(summary(FM.read_parquet(spark, f"{base}/s6"), "parquet_by_product"))
-    r.select("doc_id", "ups", "inters").write.mode("overwrite").parquet(f"{base}/s8")
-    out.append(summary(FM.read_parquet(spark, f"{base}/s8", "doc_id BIGINT, ups BIGINT, inters BIGINT"),
-                       "parquet"))
+    out.append(summary(FM.read_splits(spark, paths, schema), "csv_splits"))
+    FM.write_by_product(r.select("asin", *columns), f"{base}/s6")
+    out.append(summary(FM.read_parquet(spark, f"{base}/s6", "asin STRING, " + schema), "parquet_by_product"))
+    r.select(columns).write.mode("overwrite").parquet(f"{base}/s8")
+    out.append(summary(FM.read_parquet(spark, f"{base}/s8", schema), "parquet"))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

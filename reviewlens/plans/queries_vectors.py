@@ -251,3 +251,19 @@ FROM sz LEFT JOIN s USING (label) LEFT JOIN na USING (label)
 def q_pair_score_stats(spark, sf_dir):
     return normalise(D.pair_score_stats(vectors(spark, sf_dir), "label", "vec_id", "vec",
                                         V.cosine, tile_rows=64))
+
+
+@register("pair_score_examples", f"""
+WITH e AS {E_SQL},
+p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 9) AS score
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, a, b) - 1 AS rank,
+             count(*) OVER (PARTITION BY label) AS n FROM p),
+z AS (SELECT *, 'low' AS zone FROM r WHERE rank = 1
+      UNION ALL SELECT *, 'mid' FROM r WHERE rank BETWEEN n // 2 - 1 AND n // 2 + 1
+      UNION ALL SELECT *, 'high' FROM r WHERE rank = n - 2)
+SELECT label, zone, CAST(rank AS BIGINT) AS rank, a, b, round(score, 6) AS score FROM z
+""")
+def q_pair_score_examples(spark, sf_dir):
+    """Example pairs at the low, middle and high ranks of each cluster."""
+    return normalise(D.pair_score_examples(vectors(spark, sf_dir), "label", "vec_id", "vec"))

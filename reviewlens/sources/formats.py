@@ -6,6 +6,11 @@ of part files, so no dataset passes through the driver or one task.
 
 from __future__ import annotations
 
+import ast
+import json
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +18,53 @@ REVIEW_DICT_SCHEMA = ("asin STRING, doc_id BIGINT, helpful ARRAY<BIGINT>, overal
                       "reviewText STRING, reviewTime STRING, unixReviewTime BIGINT, reviewerName STRING")
 
 
-def write_review_dicts(df: DataFrame, path: str) -> None:
-    """Gzip text, one Python-dict literal per line ({'asin': 'x', 'helpful': [1, 2], ...}).
+def _literals(batches):
+    """JSON objects -> Python dict literals, one per line."""
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist(
+            [{"value": repr(json.loads(line))} for line in batch.column(0).to_pylist()],
+            pa.schema([("value", pa.string())]))
+
+
+def _objects(batches, permissive: bool):
+    """Python dict literals -> (JSON object, corrupt line)."""
+    schema = pa.schema([("value", pa.string()), ("_corrupt_record", pa.string())])
+    for batch in batches:
+        out = []
+        for line in batch.column(0).to_pylist():
+            try:
+                record = ast.literal_eval(line.strip())
+                if not isinstance(record, dict):
+                    raise ValueError("not a dict")
+                out.append({"value": json.dumps(record), "_corrupt_record": None})
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as why:
+                if not permissive:
+                    raise ValueError(f"not a review record ({why}): {line[:200]!r}") from why
+                out.append({"value": None, "_corrupt_record": line})
+        yield pa.RecordBatch.from_pylist(out, schema)
+
 
-    Only for fields without quotes inside (ids, votes, ratings)."""
-    js = F.to_json(F.struct(*df.columns))
-    df.select(F.regexp_replace(js, '"', "'").alias("value")).write.mode("overwrite") \
+def write_review_dicts(df: DataFrame, path: str) -> None:
+    """Gzip text, one Python-dict literal per line ({'asin': 'x', 'helpful': [1, 2], ...});
+    nulls are None, and texts may hold any quotes and line ends."""
+    js = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    df.select(js.alias("value")).mapInArrow(_literals, "value string").write.mode("overwrite") \
         .option("compression", "gzip").text(path)
 
 
-def read_review_dicts(spark: SparkSession, path: str, schema: str = REVIEW_DICT_SCHEMA) -> DataFrame:
-    """Single-quoted records parse with the JSON reader (allowSingleQuotes);
-    bad lines become NULL rows (PERMISSIVE) instead of being evaluated as code.
-    A gzip file is one split, so the result is spread over the cluster."""
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("allowSingleQuotes", True)
-          .json(path))
-    return df.repartition(spark.sparkContext.defaultParallelism)
+def read_review_dicts(spark: SparkSession, path: str, schema: str = REVIEW_DICT_SCHEMA,
+                      mode: str = "FAILFAST") -> DataFrame:
+    """The lines are read as Python literals, never evaluated as code, and blank ones are
+    skipped.  A line that is no record stops the read; with ``mode="PERMISSIVE"`` it becomes a row
+    of nulls with the line in ``_corrupt_record``.  A gzip file is one split, so the lines
+    are spread over the cluster before they are parsed."""
+    permissive = mode.upper() == "PERMISSIVE"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = lines.mapInArrow(partial(_objects, permissive=permissive), "value string, _corrupt_record string")
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE" if permissive else "FAILFAST"})
+    return found.select(row.alias("r"), "_corrupt_record").select(
+        "r.*", *(["_corrupt_record"] if permissive else []))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,8 +73,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """CSV with header, quotes escaped by doubling."""
-    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
+    """CSV with header, quotes escaped by doubling, spaces kept."""
+    (df.write.mode("overwrite").option("header", header).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
@@ -58,7 +95,12 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: str,
 
 
 def write_by_product(df: DataFrame, path: str, key: str = "asin") -> None:
-    """One parquet folder per product (or dataset)."""
+    """One parquet folder per product (or dataset).
+
+    Rows are dealt by ranges of (key, hash of the row): few files a product, and a
+    large product is split over several tasks."""
+    rest = [c for c in df.columns if c != key]
+    df = df.repartitionByRange(F.col(key), F.xxhash64(*rest)) if rest else df
     df.write.mode("overwrite").partitionBy(key).parquet(path)
 
 

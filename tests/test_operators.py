@@ -126,3 +126,34 @@ def test_group_rank_and_dense_index_are_stable(spark):
     for _ in range(2):
         assert j.filter("sidx <> sidx2 OR gidx <> gidx2").count() == 0
     assert j.count() == s.count()
+
+
+def test_review_dicts_keep_every_text(spark, tmp_path):
+    """Quotes, None, escapes and line ends come back; a bad line stops the read or is kept."""
+    from reviewlens.sources import formats as FM
+    texts = ["it's \"so\" 'so'", "None True \\x41 \\ \\'", "a\nb\r\n\tc\x07\xe9\u2028\U0001f600", "", None]
+    rows = [("0005019281", i, [i, 2], 1.0, t, None) for i, t in enumerate(texts)]
+    schema = "asin STRING, doc_id BIGINT, helpful ARRAY<BIGINT>, overall DOUBLE, reviewText STRING, reviewerName STRING"
+    FM.write_review_dicts(spark.createDataFrame(rows, schema), str(tmp_path / "a"))
+    back = FM.read_review_dicts(spark, str(tmp_path / "a"), schema)
+    assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[1]) == rows
+    (tmp_path / "b").write_text("{'asin': 'x', 'reviewerName': None, 'reviewText': '\\xe9'}\n\n{'asin': oops()}\n")
+    kept = {r.asin: r for r in FM.read_review_dicts(spark, str(tmp_path / "b"), mode="PERMISSIVE").collect()}
+    assert kept["x"].reviewText == "\xe9" and kept[None]._corrupt_record == "{'asin': oops()}"
+    with pytest.raises(Exception, match="not a review record"):
+        FM.read_review_dicts(spark, str(tmp_path / "b")).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_pair_score_examples_on_ties_and_small_clusters(spark, n):
+    """Equal vectors: all scores tie, so ids decide; ranks outside a small cluster are left out."""
+    from itertools import combinations
+
+    from reviewlens.operators import diagnostics as D
+    df = spark.range(n).select(F.lit(0).alias("label"), "id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    pairs = list(combinations(range(n), 2))
+    m = len(pairs)
+    want = {("low", 1)} | {("mid", r) for r in (m // 2 - 1, m // 2, m // 2 + 1)} | {("high", m - 2)}
+    want = {(z, r, *pairs[r]) for z, r in want if 0 <= r < m}
+    got = D.pair_score_examples(df, "label", "id", "v", tile_rows=4).collect()
+    assert sorted((r.zone, r["rank"], r.a, r.b) for r in got) == sorted(want)
