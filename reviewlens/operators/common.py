@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from reviewlens.session import checkpoint_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the shared checkpoint
-    folder: later uses read the same rows even when executors were lost or
-    the plan holds non-repeatable steps (sampled range bounds, row ids)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back:
+    later uses see the same rows even when executors were lost or the plan holds
+    non-repeatable steps (sampled range bounds, row ids).  A checkpoint would carry
+    the optimiser's constraints from round to round of a loop, and they grow."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx",
