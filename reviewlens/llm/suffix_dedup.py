@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a difference-cover suffix sort.
+"""Removal of repeated byte strings by the names of a difference cover, without its merge.
 
 Text that can't repeat is pruned first.  The ``WIDTH``-byte windows of each text fall into
 runs that share a minimiser (see ``windows``); equal windows lie in runs of one minimiser, a class,
@@ -11,12 +11,12 @@ The different runs of a class with two or more are suffix-sorted, many classes t
   * sample the positions whose distance to the minimiser isn't a multiple of three, and
     sort the triples of eight-byte letters that start there; equal triples get one name, in order;
   * recurse on the names: triples of names of 24 bytes, then of 72, name 72 and 198 bytes;
-  * order the windows of the sample by their 198-byte name and two more bytes, and merge in the
-    remaining ones by their first byte, the name after it, and their last byte;
-  * compare the prefixes of neighbours: equal ones are repeats.
+  * order the windows of the sample by their 198-byte name and two more bytes, and in an order of
+    their own the remaining ones by their first byte, the name after it, and their last byte;
+  * compare the prefixes of neighbours in each order: equal ones are repeats.
 
 Only windows at one distance can be equal, so the sample and the remainder need no
-comparison with each other, and the recursion ends once names cover a window.
+comparison with each other: the two orders aren't merged.  The recursion ends once names cover a window.
 
 A class of more than ``HOT`` different runs isn't sorted in one task: its windows are
 dealt out and counted by (class, distance, content), which is exact as well.
