@@ -39,6 +39,7 @@ LONGEST = 4  # largest l
 VERIFY = 20  # cost of a verification in postings
 COMMON = 1 << 19
 LEADERS = 24
+HOME = 1 << 10  # sets of a home list that one task compares with its leaders
 AT_ONCE = 4_000_000  # shingles that a task counts together
 MET = 4  # lists in which those pairs meet, at least
 TRIED = (3, 8)  # pairs for each two components in the turns of the second step
@@ -144,40 +145,17 @@ def _prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
 
 def _postings(rows: DataFrame) -> DataFrame:
     """(shingle, set, n, place, length): lists of two or more sets."""
-    sets = rows.filter(F.size("prefix") > 0)
-    each = sets.select("set", "n", F.posexplode("prefix").alias("place", "shingle"))
-
-    def lists(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pa.concat_batches([held, batch])
-            keys = held.column("shingle").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
-            if cut:
-                yield from _lists_of(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from _lists_of(held)
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.filter(F.size("prefix") > 0).select("set", "n", F.posexplode("prefix").alias("place", "shingle"))
     packed = each.select("shingle", "set", (F.shiftleft("n", 32) + F.col("place")).alias("packed"))
-    dealt = packed.repartition(parts, "shingle").sortWithinPartitions("shingle", "set")
-    return shared.written(dealt.mapInArrow(lists, "shingle long, set long, n long, place long, length long"), "ngram-postings")
-
-
-def _lists_of(batch: pa.RecordBatch):
-    """Rows of lists with two or more different sets, with the list's length."""
-    keys, sets, packed = (batch.column(c).to_numpy() for c in ("shingle", "set", "packed"))
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])  # a set comes once from each batch it is in
-    keys, sets, packed = keys[new], sets[new], packed[new]
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.append(begin, len(keys)))
-    per = np.repeat(length, length)
-    use = per > 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(x[use]) for x in (keys, sets, packed >> 32, packed & (1 << 32) - 1, per)],
-        ["shingle", "set", "n", "place", "length"])
+    several = packed.groupBy("shingle").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
+    several = shared.written(several.select("shingle"), "ngram-several")  # tables, so that the joins can split a hot list
+    # a set comes once from each batch it is in
+    once = shared.written(packed.join(several, "shingle", "left_semi").groupBy("shingle", "set").agg(
+        F.min("packed").alias("packed")), "ngram-shared")
+    lengths = shared.written(once.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")), "ngram-lengths")
+    return shared.written(once.join(lengths, "shingle").select(
+        "shingle", "set", F.shiftright("packed", 32).alias("n"),
+        F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "length"), "ngram-postings")
 
 
 def _chosen(postings: DataFrame, percent: int) -> DataFrame:
@@ -190,12 +168,13 @@ def _chosen(postings: DataFrame, percent: int) -> DataFrame:
     sums = [F.sum(F.when(F.col("place") < F.col("n") - need + k, F.col("length") - 1).otherwise(0)).alias(f"s{k}")
             for k in range(1, LONGEST + 1)]
     per_set = postings.groupBy("set", "n").agg(
-        *sums, F.min_by("shingle", "place").alias("home"), F.count(F.lit(1)).alias("shared"))
+        *sums, F.min_by("shingle", "place").alias("home"), F.min_by("length", "place").alias("listed"),
+        F.count(F.lit(1)).alias("shared"))
     per_set = per_set.filter(F.col("shared") >= F.least(F.lit(LONGEST), need))
     cost = [F.struct((F.col(f"s{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l"))
             for k in range(1, LONGEST + 1)]
     usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= F.ceil(F.col("n") * percent / 100)))
-    return per_set.select("set", "n", "home", F.array_min(usable)["l"].alias("l"))
+    return per_set.select("set", "n", "home", "listed", F.array_min(usable)["l"].alias("l"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -254,13 +233,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def _homes(chosen: DataFrame) -> DataFrame:
+    """(set, home): the home list, in parts of about HOME sets where it is longer."""
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("listed") / HOME))
+    return chosen.select("set", F.when(F.col("listed") > HOME, F.xxhash64("home", part)).otherwise(F.col("home")).alias("home"))
+
+
 def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """(set, component): sets joined to a leader of their home list.
+    """(set, component): sets joined to a leader of their home list, or of their part of it.
 
     The parity maps choose the leader, as contents are several times as large; a set whose
     contents don't link with it stays alone, for the next steps.
     """
-    rows = contents.select("set", "n", "parity").join(chosen.select("set", "home"), "set")
+    rows = contents.select("set", "n", "parity").join(_homes(chosen), "set")
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
