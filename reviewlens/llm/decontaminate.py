@@ -13,8 +13,9 @@ verified: at least half of the five-word shingles of its question and of its ans
 must occur in the passage.  The question of an item goes to its last question mark, or else is its first half.
 
 The index is built in shards of at most about ``SHARD_BYTES`` of item text, dealt by a hash
-of the item's id; every shard is searched by all passages, and only one shard's index is
-broadcast at a time.
+of the item's id and text.  A Spark task builds a shard's index and writes it to the shared folder; every
+shard is searched by all passages.  A scoring task takes about ``GROUP_BYTES`` of text at a time and opens
+one shard after the other, so it holds one index; documents are read once.
 
 Defined cases: null and empty texts and items match nothing; items that occur twice each
 match; repeated documents each give their rows; a null item id is reported as null.
@@ -23,15 +24,19 @@ match; repeated documents each give their rows; a null item id is reported as nu
 from __future__ import annotations
 
 import math
+import pickle
 from bisect import bisect_left
-from functools import reduce
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm import shared
 from reviewlens.llm import textbatch as tb
 
 K1, B = 1.2, 0.75
@@ -42,6 +47,7 @@ BLOCK = 2  # items; small blocks keep the sums of maxima close to the scores
 RARE = 8  # items at most, for a list that is screened
 SHARD_BYTES = 512 << 10
 SHORTEST_STRIDE = 32
+GROUP_BYTES = 12 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = 1
@@ -220,36 +226,76 @@ def _every(hashes: np.ndarray, sizes: range) -> np.ndarray:
     return np.concatenate([tb.grams(hashes, bounds, n)[0] for n in sizes])
 
 
-def build(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> list[Index]:
+@lru_cache(maxsize=1)
+def _loaded(folder: str, name: str) -> Index:
+    with shared.opened(folder)[0].open_input_file(name) as source:
+        return pickle.loads(pq.ParquetFile(source).read(["index"]).column(0)[0].as_py())
+
+
+class Shards:
+    """The indexes of a benchmark: files in the shared folder, opened one at a time."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, k: int) -> Index:
+        return _loaded(self.folder, self.names[k])
+
+
+def build(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Shards:
     """One index per shard, each from at most about SHARD_BYTES of items."""
     items = benchmark.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    out = []
-    for k in range(shards):
-        mine = items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(shards)) == k)
-        rows = sorted(((r.key, r.text) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    def index(rows):
+        rows.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index(rows))], pa.binary())], ["index"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for shard, *item in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "text"))):
+                if shard != now and rows:
+                    yield index(rows)
+                    rows = []
+                now = shard
+                rows.append(tuple(item))
         if rows:
-            out.append(Index(rows))
-    return out
+            yield index(rows)
+
+    folder = shared.new_folder(benchmark.sparkSession, "decontaminate-index")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)))
+    (dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "index binary")
+     .write.option("maxRecordsPerFile", 1).parquet(folder))
+    system, root = shared.opened(folder)
+    names = sorted(x.path for x in system.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
+    return Shards(folder, [x for x in names if pq.read_metadata(x, filesystem=system).num_rows])
 
 
 _PAIRS = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
-def contaminated(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
+def _found(group: pa.RecordBatch, text: str, indexes: Shards):
+    """(first row, part, index, matches) of a group's parts, shard by shard."""
+    for k in range(len(indexes)):
+        own, first = indexes[k], 0
+        for part in tb.chunks(group, text):
+            yield first, part, own, own.matches(part.column(text))
+            first += part.num_rows
+
+
+def contaminated(docs: DataFrame, indexes: Shards, text: str = "text") -> DataFrame:
     """One row per document and verified item: doc_id, item_id, score and the overlaps."""
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def one(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches):
-            own = shared.value
-            for batch in batches:
-                for part in tb.chunks(batch, "text"):
-                    found = own.matches(part.column("text"))
+    def run(batches):
+        for batch in batches:
+            for group in tb.chunks(batch, "text", GROUP_BYTES):
+                for _, part, own, found in _found(group, "text", indexes):
                     if found:
                         row, item, *rest = zip(*found)
                         yield pa.RecordBatch.from_arrays(
@@ -257,28 +303,17 @@ def contaminated(docs: DataFrame, indexes: list[Index], text: str = "text") -> D
                              pa.array([own.ids[i] for i in item], pa.int64()), *map(pa.array, rest)],
                             ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        return source.mapInArrow(run, _PAIRS)
-
-    if not indexes:
-        return spark.createDataFrame([], _PAIRS)
-    return reduce(DataFrame.unionAll, map(one, indexes))
+    return source.mapInArrow(run, _PAIRS)
 
 
-def clean_documents(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, indexes: Shards, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a verified item, with all their columns."""
-    for index in indexes:
-        docs = _without(docs, index, text)
-    return docs
-
-
-def _without(docs: DataFrame, index: Index, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
     def run(batches):
         for batch in batches:
-            for part in tb.chunks(batch, text):
-                keep = np.ones(part.num_rows, bool)
-                keep[[m[0] for m in shared.value.matches(part.column(text))]] = False
-                yield part.filter(pa.array(keep))
+            for group in tb.chunks(batch, text, GROUP_BYTES):
+                keep = np.ones(group.num_rows, bool)
+                for first, _, _, found in _found(group, text, indexes):
+                    keep[[first + m[0] for m in found]] = False
+                yield group.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

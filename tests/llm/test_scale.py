@@ -1,10 +1,28 @@
 """Operators keep what a driver or a task holds bounded."""
 
 import collections
+import pickle
 
 from pyspark.sql import functions as F
 
 
+def test_benchmark_stays_off_the_driver(spark, monkeypatch):
+    from reviewlens.llm import decontaminate
+    items = [(i, " ".join(f"item{i}word{k}" for k in range(20)) + "? answer " + " ".join(f"a{i}x{k}" for k in range(8))) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(d, "before " + items[d * 3][1] + " and then " + items[d * 3 + 1][1]) for d in range(20)] + [(99, "none"), (98, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = decontaminate.build(benchmark)
+    assert len(one) == 1
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    many = decontaminate.build(benchmark)
+    assert len(many) > 5 and len(pickle.dumps(many)) < 300 * len(many) + 1000
+    want = sorted((d, i) for d in range(20) for i in (d * 3, d * 3 + 1))
+    for indexes in (one, many):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, indexes).collect()) == want
+        assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, indexes).collect()) == [98, 99]
+
+
 def test_posting_lists_and_long_home_lists_are_split(spark, monkeypatch):
     from reviewlens.llm import ngram_join
     monkeypatch.setattr(ngram_join, "HOME", 100)
