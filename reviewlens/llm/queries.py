@@ -119,3 +119,13 @@ def op5_lm_score(spark, sf_dir):
     from reviewlens.llm import pitman_yor
     docs = table(spark, sf_dir, "documents")
     return pitman_yor.score_documents(docs, pitman_yor.fit(docs))
+
+
+@register("op13_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""")
+def op13_exact_dedup(spark, sf_dir):
+    from reviewlens.llm import exact_dedup
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
