@@ -129,3 +129,41 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op13_exact_dedup(spark, sf_dir):
     from reviewlens.llm import exact_dedup
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@register("op11_collocations", rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+spans AS (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM places),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM spans WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM grams WHERE a >= 100),
+cuts AS (
+  SELECT lang, k, phrase, a, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, x.a AS l, y.a AS r, t.n,
+         (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN totals t USING (lang)
+  JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+stay AS (
+  SELECT * FROM lowest g WHERE NOT EXISTS (
+    SELECT 1 FROM often h WHERE h.lang = g.lang AND h.k > g.k AND 100 * h.a >= 100 * g.a
+      AND contains(' ' || h.phrase || ' ', ' ' || g.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM stay QUALIFY rank <= 2000
+""")
+def op11_collocations(spark, sf_dir):
+    from reviewlens.llm import collocations
+    return collocations.ranked(collocations.mine(table(spark, sf_dir, "documents")))
