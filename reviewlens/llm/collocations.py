@@ -384,7 +384,7 @@ def _next(source: DataFrame, shorter: DataFrame, m: int, least: int) -> DataFram
     tail = bloom.build(shorter.select("key"), "key", n) if n > len(head) else None
     found = count_pairs(source, m, head, tail)
     runs = (found.agg(F.max("run")).first()[0] or 0) + 1
-    merged = merge_tiles(found.filter(F.col("tile").isNotNull()).select("tile", "run", "block"), runs)
+    merged = merge_tiles(found.filter(F.col("tile").isNotNull()).select("tile", "run", "block"), runs, FAN_IN)
     frequent = _from_tiles(merged, head, least)
     if tail is not None:
         rows = found.filter(F.col("tile").isNull()).groupBy("left", "right").agg(F.sum("c").alias("c"))

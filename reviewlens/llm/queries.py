@@ -167,3 +167,80 @@ FROM stay QUALIFY rank <= 2000
 def op11_collocations(spark, sf_dir):
     from reviewlens.llm import collocations
     return collocations.ranked(collocations.mine(table(spark, sf_dir, "documents")))
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({key}) + 1), lambda i: unicode({key}[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_BLANK = r"\x20\x09-\x0D"
+
+
+@register("op12_conversation_repair", rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {_CRC32.format(key='key')} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, role[1] AS c,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS c0,
+         regexp_extract(text, '([^{_BLANK}])[{_BLANK}]*$', 1) AS tail FROM placed),
+r AS (
+  SELECT *, CASE WHEN tail = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+  FROM seen),
+rows_of AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM rows_of
+  UNION ALL
+  SELECT conv_id, i, least(e0, 5 + e2, 10 + e3), least(e1, 5 + e2, 10 + e3), least(e2, 5 + e3), least(e3, 5 + e2)
+  FROM (
+    SELECT conv_id, i,
+           least(2 + v0, CASE c WHEN 's' THEN t + v1 WHEN 'u' THEN t + v2 END, 1 + t + v2) AS e0,
+           least(2 + v1, CASE c WHEN 'u' THEN t + v2 END, 1 + t + v2) AS e1,
+           least(2 + v2, CASE c WHEN 'a' THEN t + v3 END, 1 + t + v3) AS e2,
+           least(2 + v3, CASE c WHEN 'u' THEN t + v2 END, 1 + t + v2) AS e3
+    FROM (SELECT b.* EXCLUDE (i), r.i, r.c, CASE fault WHEN '-' THEN 0 WHEN 't' THEN 5 ELSE 1000000000 END AS t
+          FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1) x) y),
+costs AS (SELECT conv_id, i, [v0, v1, v2, v3] AS v FROM b),
+walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS s, '' AS audit, 0 AS cost, []::VARCHAR[] AS said FROM rows_of
+  UNION ALL
+  SELECT conv_id, CASE e WHEN 'I' THEN i ELSE i + 1 END,
+         CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE ins END, audit || e,
+         cost + CASE e WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'K' THEN t ELSE 1 + t END,
+         CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+           ELSE list_append(said, CASE ins WHEN 2 THEN 'user:' ELSE 'assistant:' END
+                                  || CASE e WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT *, CASE WHEN 2 + w[s + 1] = v[s + 1] THEN 'D' WHEN 5 + v[ins + 1] = v[s + 1] THEN 'I'
+                   WHEN t + w[kept + 1] = v[s + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT k.*, x.v, y.v AS w, r.role, r.text, CASE k.s WHEN 2 THEN 3 ELSE 2 END AS ins,
+             CASE WHEN r.c = 's' AND k.s = 0 THEN 1 WHEN r.c = 'u' AND k.s <> 2 THEN 2 WHEN r.c = 'a' AND k.s = 2 THEN 3 END AS kept,
+             CASE r.fault WHEN '-' THEN 0 WHEN 't' THEN 5 ELSE 1000000000 END AS t
+      FROM walk k JOIN costs x ON x.conv_id IS NOT DISTINCT FROM k.conv_id AND x.i = k.i
+      LEFT JOIN costs y ON y.conv_id IS NOT DISTINCT FROM k.conv_id AND y.i = k.i + 1
+      LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.i = k.i
+      WHERE r.i IS NOT NULL OR k.s IN (1, 2)) z) zz),
+ended AS (SELECT w.* FROM walk w JOIN rows_of o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = o.n + 1 WHERE w.s IN (0, 3)),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND c0 || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
+""")
+def op12_conversation_repair(spark, sf_dir):
+    from reviewlens.llm import repair
+    turns = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.steps(repair.damage(turns), turns))
