@@ -38,11 +38,12 @@ LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 HEAD = 1 << 16  # ranks that are addresses
 TILE = 1 << 9  # ranks on one side of a tile
 DENSE_SHARE = 8  # a tile is dense when a batch has a pair for every 8th cell
-DENSE_TILES = 24  # dense tiles that a task holds (2 MB each); further ones are lists
+DENSE_TILES = 16  # dense tiles that a task holds (2 MB each); further ones are lists
+LISTED = 1 << 20  # list entries that a task holds
 FAN_IN = 64
-PAIRS = 1 << 21  # pairs that are counted together
+PAIRS = 1 << 19  # pairs that are counted together
 BLOCK = 1 << 15  # entries of one block
-WORDS = 1 << 18  # distinct words that a task holds
+WORDS = 1 << 17  # distinct words that a task holds
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -281,7 +282,7 @@ def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom |
                 near, far, pending = [], [], 0
                 if rows:
                     yield from _pair_batches(*rows)
-                if len(tiles.pairs) > PAIRS:
+                if len(tiles.pairs) > LISTED:
                     yield from _block_batches(task, tiles.blocks(False))
         rows = fold()
         if rows:
