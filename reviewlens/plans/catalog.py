@@ -61,7 +61,7 @@ def r6(c: Column | str) -> Column:
 def load_all() -> None:
     """Import every module that registers queries."""
     from reviewlens.plans import (  # noqa: F401
-        queries_clustering, queries_io, queries_rouge, queries_search, queries_text,
+        queries_clustering, queries_io, queries_rouge, queries_search, queries_semantic, queries_text,
         queries_training,
         queries_vectors,
         queries_votes)

@@ -77,14 +77,14 @@ def q_io_round_trips(spark, sf_dir):
     return res
 
 
-def _md5_vec(word):
+def md5_vector(word):
     """8-d word vector from the md5 of the word (4 hex digits per component)."""
     h = F.md5(word)
     return F.array(*[F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("double") / 65535.0 - 0.5
                      for k in range(8)])
 
 
-_SQL_VEC = "[" + ", ".join(
+SQL_WORD_VECTOR = "[" + ", ".join(
     f"('0x' || substr(md5(w), {4 * k + 1}, 4))::BIGINT / 65535.0 - 0.5" for k in range(8)) + "]"
 _SQL_TOKENS = ("list_filter(regexp_split_to_array(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+'),"
                " lambda t: t <> '')")
@@ -92,7 +92,7 @@ _SQL_TOKENS = ("list_filter(regexp_split_to_array(lower(regexp_replace(text, '^\
 
 @register("mean_vector_similarity", f"""
 WITH toks AS (SELECT conv_id, turn, unnest({_SQL_TOKENS}) AS w FROM conversations),
-vec AS (SELECT conv_id, turn, unnest({_SQL_VEC}) AS x, generate_subscripts({_SQL_VEC}, 1) AS d FROM toks),
+vec AS (SELECT conv_id, turn, unnest({SQL_WORD_VECTOR}) AS x, generate_subscripts({SQL_WORD_VECTOR}, 1) AS d FROM toks),
 m AS (SELECT conv_id, turn, list(x ORDER BY d) AS v
       FROM (SELECT conv_id, turn, d, avg(x) AS x FROM vec GROUP BY conv_id, turn, d) GROUP BY conv_id, turn)
 SELECT a.conv_id, a.turn, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
@@ -104,7 +104,7 @@ def q_mean_vector_similarity(spark, sf_dir):
     turns are compared by cosine."""
     cv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", spread_rows=True)
     toks = cv.select("conv_id", "turn", F.explode(T.whitespace_tokens(F.lower("text"))).alias("word"))
-    vocab = toks.select("word").distinct().select("word", _md5_vec(F.col("word")).alias("vec"))
+    vocab = toks.select("word").distinct().select("word", md5_vector(F.col("word")).alias("vec"))
     path = _scratch(spark)
     FM.write_word_vectors(vocab, path)
     wv = FM.read_word_vectors(spark, path)

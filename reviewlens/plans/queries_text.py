@@ -15,7 +15,7 @@ from reviewlens.sources.tables import reviews, table
 PHRASES = ["Can't've said it", "I'd say he's fine", "WON'T they? y'all're late",
            "o'clock 'cause she'll've"]
 
-STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS) + "]"
+SQL_STOP_WORDS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS) + "]"
 
 
 def _sql_strip(x: str) -> str:
@@ -30,7 +30,7 @@ def _sql_words(x: str) -> str:
     return f"regexp_extract_all({x}, '{T.WORD_PATTERN}')"
 
 
-def _sql_ws_tokens(x: str) -> str:
+def sql_whitespace_tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array({_sql_strip(x)}, '\\s+'), lambda t: t <> '')"
 
 
@@ -86,7 +86,7 @@ FROM (
   SELECT conv_id, turn, text,
     CASE WHEN a[-1] = '.' THEN a[1:len(a) - 1] ELSE a END AS sp,
     CASE WHEN b[-1] = '.' THEN b[1:len(b) - 1] ELSE b END AS spl,
-    {_sql_ws_tokens('text')} AS ws, {_sql_words('lower(text)')} AS wt
+    {sql_whitespace_tokens('text')} AS ws, {_sql_words('lower(text)')} AS wt
   FROM (SELECT conv_id, turn, text, string_split({_sql_strip('text')}, ' ') AS a,
                string_split(lower({_sql_strip('text')}), ' ') AS b FROM conversations))
 """)
@@ -131,8 +131,8 @@ def q_sentence_split_punct(spark, sf_dir):
 @register("token_sets", f"""
 SELECT conv_id, turn, array_to_string(s, ' ') AS tokens, CAST(len(s) AS BIGINT) AS n_tokens
 FROM (SELECT conv_id, turn,
-             list_sort(list_distinct(list_filter({_sql_ws_tokens('text')},
-                                                 lambda t: NOT list_contains({STOP_SQL}, t)))) AS s
+             list_sort(list_distinct(list_filter({sql_whitespace_tokens('text')},
+                                                 lambda t: NOT list_contains({SQL_STOP_WORDS}, t)))) AS s
       FROM conversations)
 """)
 def q_token_sets(spark, sf_dir):
@@ -144,8 +144,8 @@ def q_token_sets(spark, sf_dir):
 
 @register("jaccard_pairs", f"""
 WITH s AS (SELECT conv_id, turn,
-             list_distinct(list_filter({_sql_ws_tokens('text')},
-                                       lambda t: NOT list_contains({STOP_SQL}, t))) AS s
+             list_distinct(list_filter({sql_whitespace_tokens('text')},
+                                       lambda t: NOT list_contains({SQL_STOP_WORDS}, t))) AS s
            FROM conversations)
 SELECT a.conv_id, a.turn, CAST(len(a.s) AS BIGINT) AS n1, CAST(len(b.s) AS BIGINT) AS n2,
        CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS n_common,
@@ -246,8 +246,8 @@ def q_product_sentences(spark, sf_dir):
 
 @register("bag_of_words", f"""
 SELECT conv_id, turn, t AS token, count(*) AS n
-FROM (SELECT conv_id, turn, unnest(list_filter({_sql_ws_tokens('text')},
-                                               lambda t: NOT list_contains({STOP_SQL}, t))) AS t
+FROM (SELECT conv_id, turn, unnest(list_filter({sql_whitespace_tokens('text')},
+                                               lambda t: NOT list_contains({SQL_STOP_WORDS}, t))) AS t
       FROM conversations)
 GROUP BY conv_id, turn, t
 """)
