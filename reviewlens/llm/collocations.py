@@ -136,6 +136,8 @@ def count_words(source: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from folded().to_batches(max_chunksize=BLOCK)
+        held = []
+        tb.trim()
 
     counted = source.mapInArrow(run, "lang string, word string, key long, c long")
     return counted.groupBy("lang", "word").agg(F.min("key").alias("key"), F.sum("c").alias("c"))
@@ -181,13 +183,31 @@ class Tiles:
             self.dense = {}
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """The number of entries, and compressed steps from cell to cell and counts (cells rise)."""
+    plain = np.stack([np.diff(cells, prepend=0), counts]).astype("<u4").tobytes()
+    return len(cells).to_bytes(4, "little") + _ZSTD.compress(plain, asbytes=True)
+
+
+def _unpacked(block: pa.Scalar) -> np.ndarray:
+    """(2, entries): cells and counts."""
+    whole = block.as_buffer()
+    n = int.from_bytes(whole.slice(0, 4).to_pybytes(), "little")
+    out = np.frombuffer(_ZSTD.decompress(whole.slice(4), 8 * n), "<u4").reshape(2, n).astype(np.int64)
+    np.cumsum(out[0], out=out[0])
+    return out
+
+
 def _blocks(tile: int, cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Entries (cell, count) as unsigned 32-bit numbers; a larger count is several entries of one cell."""
+    """Blocks of entries (cell, count < 2^32); a larger count is several entries of one cell."""
     most = (1 << 32) - 1
     while len(cells):
         now = np.minimum(counts, most)
         for at in range(0, len(cells), BLOCK):
-            yield tile, np.stack([cells[at:at + BLOCK], now[at:at + BLOCK]]).astype("<u4").tobytes()
+            yield tile, _packed(cells[at:at + BLOCK], now[at:at + BLOCK])
         more = counts > most
         cells, counts = cells[more], counts[more] - most
 
@@ -288,6 +308,8 @@ def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom |
         if rows:
             yield from _pair_batches(*rows)
         yield from _block_batches(task, tiles.blocks(True))
+        del tiles
+        tb.trim()
 
     found = shared.written(source.mapInArrow(run, "tile int, run int, block binary, left long, right long, c long"), "pairs")
     sent.unpersist()
@@ -330,11 +352,13 @@ def merge_tiles(blocks: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame
                 if len(held) == FAN_IN:
                     fold_now = fold()
                     held = [np.stack(fold_now)] if total is None else [np.zeros((2, 0), np.int64)]
-                held.append(np.frombuffer(block.as_buffer(), "<u4").reshape(2, -1).astype(np.int64))
+                held.append(_unpacked(block))
         if now is not None:
             out += [(*now, b) for _, b in _blocks(now[0], *fold())]
         if out:
             yield batch(out)
+        held, total = [], None
+        tb.trim()
 
     while True:
         runs = -(-runs // fan_in)
@@ -352,7 +376,7 @@ def _from_tiles(blocks: DataFrame, head: np.ndarray, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for tile, block in zip(batch.column("tile").to_pylist(), batch.column("block")):
-                cells, counts = np.frombuffer(block.as_buffer(), "<u4").reshape(2, -1).astype(np.int64)
+                cells, counts = _unpacked(block)
                 cells, counts = cells[counts >= least], counts[counts >= least]
                 if len(cells):
                     left = tile // (HEAD // TILE) * TILE + cells // TILE

@@ -7,6 +7,7 @@ strings of one corpus collide with a probability of about n^2 / 2^65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,3 +151,11 @@ def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[offs[1:]] - total[offs[:-1]]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
