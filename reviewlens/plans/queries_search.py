@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reviewlens.functions import text as T
 from reviewlens.functions.hashing import sql_hash32, sql_randint, sql_uniform
 from reviewlens.functions.text import length_penalty
+from reviewlens.operators import mixture as X
 from reviewlens.operators import models as M
 from reviewlens.operators import search as S
+from reviewlens.operators import topics as P
 from reviewlens.operators import training_set as TS
-from reviewlens.operators.common import group_rank
+from reviewlens.operators import ward as W
+from reviewlens.operators.common import cut_lineage, group_rank, new_path
 from reviewlens.operators.text_ops import dot_sentences
 from reviewlens.plans.catalog import normalise, register, with_reviews
 from reviewlens.plans.queries_vectors import vectors
@@ -252,11 +256,10 @@ def _helpfulness_model(spark, sf_dir):
 def q_helpfulness_model_mae(spark, sf_dir):
     """M11 + M12 + F22 + S14: fit on mk2's train split, save and reload the
     model (shared checkpoint folder), MAE on the validation split."""
-    from reviewlens.session import checkpoint_dir
     data = TS.make_dataset_mk2(reviews(spark, sf_dir), seed=0, bad_ratio=.5, good_ratio=.8,
                                check_balance=False)
     model = M.fit_helpfulness(data.filter("split = 'train'"), max_iter=10)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/helpfulness"
+    path = new_path(spark, "model")
     M.save_model(model, path)
     loaded = M.load_model(path)
     pred = M.score(loaded, data.filter("split = 'val'"), text_col="review_text")
@@ -275,16 +278,20 @@ def q_genetic_summary(spark, sf_dir):
         F.col("grp").alias("asin"), "fitness", F.size("genes").alias("n_sentences"), "text")
 
 
+LOCAL_STEPS = 10
+
+
 @register("local_search_summary")
-def q_local_search_summary(spark, sf_dir):
-    """G9 + G10: annealing and Metropolis local search, 3 steps each."""
+def q_local_search_summary(spark, sf_dir, k_max: int = LOCAL_STEPS):
+    """G9 + G10: annealing and Metropolis local search of every product's 96 individuals, ``k_max`` steps
+    each; both share the memo of scored states."""
     model = _helpfulness_model(spark, sf_dir)
-    sents = candidate_sentences(spark, sf_dir)
-    cfg = S.SearchConfig(population=8)
+    sents = cut_lineage(candidate_sentences(spark, sf_dir))
     scorer = lambda df: M.score(model, df)
-    a = S.local_search(sents, scorer, cfg, 3, "anneal").withColumn("method", F.lit("anneal"))
-    b = S.local_search(sents, scorer, cfg, 3, "metropolis").withColumn("method", F.lit("metropolis"))
-    return a.unionByName(b).filter("rank = 1").select(
+    memo = S.Memo()
+    found = [S.local_search(sents, scorer, CFG, k_max, S.Strategy(acceptance=a), memo=memo).withColumn("method", F.lit(name))
+             for name, a in (("anneal", S.annealing), ("metropolis", S.metropolis()))]
+    return found[0].unionByName(found[1]).filter("rank = 1").select(
         "method", F.col("grp").alias("asin"), "fitness", F.size("genes").alias("n_sentences"))
 
 
@@ -295,29 +302,45 @@ def q_kmeans(spark, sf_dir):
 
 @register("hierarchical")
 def q_hierarchical(spark, sf_dir):
-    return M.hierarchical_labels(vectors(spark, sf_dir).drop("label"), "vec", 10) \
-        .select("vec_id", "label")
+    """M7: Ward's dendrogram of all vectors, cut at 10 clusters."""
+    v = vectors(spark, sf_dir).select(F.lit("all").alias("grp"), "vec_id", "vec")
+    merges = cut_lineage(W.ward(v, ["grp"], "vec_id"))
+    return W.cut(v, merges, ["grp"], "vec_id", 10).select("vec_id", "label")
+
+
+@register("ward_dendrogram")
+def q_ward_dendrogram(spark, sf_dir):
+    """M7: the merges of each product's vectors."""
+    v = vectors(spark, sf_dir).select("grp", "vec_id", "vec")
+    return normalise(W.ward(v, ["grp"], "vec_id").select("grp", "id", "gone", "height", "size"))
 
 
 @register("gmm")
 def q_gmm(spark, sf_dir):
+    """M5: weights and means (in the space of the vectors) of five components."""
     _, comps = M.gmm(vectors(spark, sf_dir).drop("label"), "vec", 5)
-    return comps.select("label", "weight", F.size("mean").alias("dims"))
+    return comps.select("label", F.round("weight", 6).alias("weight"), F.size("mean").alias("dims"))
 
 
 @register("bayes_gmm")
 def q_bayes_gmm(spark, sf_dir):
-    labels, _ = M.gmm(vectors(spark, sf_dir).drop("label"), "vec", 5, weight_floor=.05)
-    return labels.select("vec_id", "label")
+    """M6: a variational mixture of five components from k-means labels; each vector's component."""
+    start = M.kmeans_labels(vectors(spark, sf_dir).drop("label"), "vec", 5)
+    model = X.fit(start, "vec", 5, start="label", max_iter=10)
+    return normalise(X.assign(start, "vec", model, "vec_id"))
 
 
 @register("cluster_topics")
 def q_cluster_topics(spark, sf_dir):
-    """M8: 2 topics x 5 words per cluster of sentences (labels from embeddings)."""
+    """M8: 2 topics x 5 words of every cluster of sentences (labels from embeddings)."""
     from reviewlens.plans.queries_vectors import q_labelled_sentences
-    ls = q_labelled_sentences(spark, sf_dir)
-    return M.cluster_topics(ls, "sentence", "label").select(
-        "label", "topic", F.array_join("words", " ").alias("words"))
+    words = F.regexp_extract_all(F.lower("sentence"), F.lit(T.WORD_PATTERN), 0)
+    stop = F.array(*[F.lit(w) for w in T.STOP_WORDS])
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    bag = (q_labelled_sentences(spark, sf_dir).select("label", F.col("sentence_id").alias("doc"), F.explode(kept).alias("word"))
+           .groupBy("label", "doc", "word").agg(F.count(F.lit(1)).alias("n")))
+    return P.top_words(P.fit(bag)).groupBy("label", "topic").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("words"))
 
 
 @register("encode_sentences")
@@ -329,24 +352,20 @@ def q_encode_sentences(spark, sf_dir):
     return normalise(enc.select("grp", "sidx", F.size("vec").alias("dims"), norm("vec").alias("norm")))
 
 
+@register("summarise_all_products")
 def q_summarise_all_products(spark, sf_dir):
-    """§3.1 end to end for every product: summaries written as JSON per dataset
-    (S12/S13) and read back, scored with ROUGE against the most helpful review.
-    Search budget: 24 individuals x 3 generations (parameters of the plan).
-
-    Not registered yet: the per-product DBSCAN auto-tuning (up to 26 rounds of
-    checkpointed jobs) makes it take many minutes even at sf0.001."""
-    from reviewlens.plans import summariser as P
+    """§3.1 end to end for every product of two datasets (English and other reviews) in one job: summaries
+    written as JSON per dataset (S12/S13), read back and scored with ROUGE against the most helpful review."""
+    from reviewlens.operators.rouge import ROUGE_TYPES
+    from reviewlens.plans import summariser as U
     from reviewlens.plans.queries_rouge import summary_pairs
-    from reviewlens.session import checkpoint_dir
-    cfg = P.SummariseConfig(search=S.SearchConfig(population=24, max_iter=3))
-    model = _helpfulness_model(spark, sf_dir)
-    summ = P.summarise(reviews(spark, sf_dir), model, cfg)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/summaries"
-    P.write_summaries(summ, path, "reviews")
-    back = spark.read.schema("asin STRING, summary STRING, dataset STRING").json(path)
-    gold = summary_pairs(spark, sf_dir).select("asin", "ref")
-    scores = P.evaluate(back, gold)
-    return scores.groupBy("asin").pivot("rouge_type", list(__import__(
-        "reviewlens.operators.rouge", fromlist=["x"]).ROUGE_TYPES)).agg(F.first("f")) \
-        .join(back.select("asin", F.length("summary").alias("summary_chars")), "asin")
+    from reviewlens.plans.stages import Stages
+    root = new_path(spark, "summaries")
+    source = reviews(spark, sf_dir).select(
+        F.when(F.col("asin").endswith("-en"), "english").otherwise("other").alias("dataset"), "asin", "doc_id", "review_text", "ups", "inters")
+    found = U.summarise(cut_lineage(source), U.SummariseConfig(), Stages(spark, f"{root}/stages"))
+    U.write_summaries(found, f"{root}/json")
+    back = cut_lineage(U.read_summaries(spark, f"{root}/json"))
+    scores = U.evaluate(back, summary_pairs(spark, sf_dir).select("asin", "ref"))
+    return (scores.groupBy("asin").pivot("rouge_type", list(ROUGE_TYPES)).agg(F.first("f"))
+            .join(back.select("dataset", "asin", F.length("summary").cast("bigint").alias("summary_chars")), "asin"))
