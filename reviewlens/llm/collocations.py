@@ -8,14 +8,14 @@ rank of the last) lies in one of (HEAD / TILE)^2 square tiles.  A task counts ea
 gets many pairs with a dense ``bincount`` and the others as sorted coordinate lists, and hands on
 blocks (tile, cells, counts).  Blocks of a tile are added up in rounds of ``FAN_IN`` tasks, so the
 tile of the commonest phrases is not summed by one task; a merge holds one tile of fixed size.
-Pairs with a phrase beyond the head are counted by both 64-bit keys in a plain aggregate; a
-bitmap of bounded size leaves out most that are not frequent, and the join with the frequent phrases
-decides.  Nothing but the head's keys, the bitmap and the scalar counts is sent to tasks or the driver.
+Pairs with a phrase beyond the head have no address: they are lists sorted by the pair's key, cut by
+the key's upper bits into ranges, and merged in the same rounds, block by block, so a merge holds a few blocks of each of its
+``FAN_IN`` tasks.  A bitmap of bounded size leaves out most pairs with a part that is not frequent, and the join with the frequent
+phrases decides.  Nothing but the head's keys, the bitmap and the scalar counts is sent to tasks or the driver.
 
 Every occurrence in every whole text is counted: there are no caps, and pruning uses only that a
-part is at least as frequent as the whole.  Words and phrases are told apart by 64-bit keys
-(of phrases: both parts' keys); two different words of one language share a key with a
-probability of about n^2 / 2^65.  Scores are decimals of 38 digits; beyond, Spark raises an error.
+part is at least as frequent as the whole.  Words and phrases are told apart by 64-bit keys; two different
+ones of n share a key with a probability of about n^2 / 2^65.  Scores are decimals of 38 digits; beyond, Spark raises an error.
 
 Defined cases: null texts are empty; a null language is ``und``; ids are not read, and repeated rows count
 each time; an empty table, or one without frequent words, gives no rows; equal scores are ordered by
@@ -42,7 +42,8 @@ DENSE_TILES = 16  # dense tiles that a task holds (2 MB each); further ones are
 LISTED = 1 << 20  # list entries that a task holds
 FAN_IN = 64
 PAIRS = 1 << 19  # pairs that are counted together
-BLOCK = 1 << 15  # entries of one block
+BLOCK = 1 << 13  # entries of one block
+RANGE_BITS = 8  # upper bits of a key that make its range
 WORDS = 1 << 17  # distinct words that a task holds
 
 _BREAK = np.zeros(256, bool)
@@ -169,8 +170,8 @@ class Tiles:
         self.pairs, self.counts = _sums(np.concatenate([self.pairs, keys[first]]),
                                         np.concatenate([self.counts, np.diff(np.append(first, len(keys)))]))
 
-    def blocks(self, with_dense: bool) -> Iterator[tuple[int, bytes]]:
-        """(tile, block): what is in the list, and at the end also the dense tiles; both are emptied."""
+    def blocks(self, with_dense: bool) -> Iterator[tuple[int, int, bytes]]:
+        """(tile, 0, block): what is in the list, and at the end also the dense tiles; both are emptied."""
         tiles = (self.pairs >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else np.zeros(0, np.int64)
         for lo, hi in zip(edges, np.append(edges[1:], len(tiles))):
@@ -201,49 +202,76 @@ def _unpacked(block: pa.Scalar) -> np.ndarray:
     return out
 
 
-def _blocks(tile: int, cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+class Far:
+    """A list of (left, right, count) sorted by the pair's key, without repeats."""
+
+    def __init__(self, left=(), right=(), counts=()):
+        self.left, self.right = np.asarray(left, np.uint64), np.asarray(right, np.uint64)
+        self.counts = np.asarray(counts, np.int64)
+        self.key = join_keys(self.left, self.right)
+
+    def __len__(self):
+        return len(self.left)
+
+    @classmethod
+    def merged(cls, parts: list[Far]) -> Far:
+        out = cls(*(np.concatenate([getattr(p, c) for p in parts] or [()]) for c in ("left", "right", "counts")))
+        order = np.argsort(out.key, kind="stable")
+        key = out.key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(out.counts[order], first) if len(first) else out.counts
+        return cls(out.left[order[first]], out.right[order[first]], counts)
+
+    def slice(self, lo: int, hi: int) -> Far:
+        return Far(self.left[lo:hi], self.right[lo:hi], self.counts[lo:hi])
+
+    def packed(self) -> bytes:
+        return len(self).to_bytes(4, "little") + _ZSTD.compress(
+            np.stack([self.left, self.right, self.counts.view(np.uint64)]).tobytes(), asbytes=True)
+
+    @classmethod
+    def unpacked(cls, block: pa.Scalar) -> Far:
+        whole = block.as_buffer()
+        n = int.from_bytes(whole.slice(0, 4).to_pybytes(), "little")
+        left, right, counts = np.frombuffer(_ZSTD.decompress(whole.slice(4), 24 * n), np.uint64).reshape(3, n)
+        return cls(left, right, counts.view(np.int64))
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
+        """(tile, first, block): ranges of keys are tiles -1, -2, ...; ``first`` is the block's first key but its last bit."""
+        part = (self.key >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+        edges = np.searchsorted(part, np.arange((1 << RANGE_BITS) + 1))
+        for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            for at in range(lo, hi, BLOCK):
+                piece = self.slice(at, min(at + BLOCK, hi))
+                yield -1 - r, int(piece.key[0] >> np.uint64(1)), piece.packed()
+
+
+def _blocks(tile: int, cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Blocks of entries (cell, count < 2^32); a larger count is several entries of one cell."""
     most = (1 << 32) - 1
     while len(cells):
         now = np.minimum(counts, most)
         for at in range(0, len(cells), BLOCK):
-            yield tile, _packed(cells[at:at + BLOCK], now[at:at + BLOCK])
+            yield tile, 0, _packed(cells[at:at + BLOCK], now[at:at + BLOCK])
         more = counts > most
         cells, counts = cells[more], counts[more] - most
 
 
-_OUT = pa.schema([("tile", pa.int32()), ("run", pa.int32()), ("block", pa.binary()),
-                  ("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64())])
-
+_OUT = pa.schema([("tile", pa.int32()), ("run", pa.int32()), ("first", pa.int64()), ("block", pa.binary())])
+_SQL_OUT = "tile int, run int, first long, block binary"
 
-def _block_batches(run: int, blocks) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, bytes]] = []
-    size = 0
 
-    def batch():
-        n = len(held)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in held], pa.int32()), pa.array([run] * n, pa.int32()),
-             pa.array([b for _, b in held], pa.binary()), none, none, none], schema=_OUT)
-
-    for tile, block in blocks:
-        held.append((tile, block))
-        size += len(block)
+def _batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Record batches of about a megabyte from (tile, run, first, block)."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
         if size > tb.CHUNK_BYTES or len(held) == 4096:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), _OUT)], schema=_OUT)
             held, size = [], 0
     if held:
-        yield batch()
-
-
-def _pair_batches(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(left), BLOCK):
-        sides = [pa.array(x[at:at + BLOCK].view(np.int64)) for x in (left, right)]
-        n = len(sides[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-             *sides, pa.array(counts[at:at + BLOCK])], schema=_OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), _OUT)], schema=_OUT)
 
 
 class Ranks:
@@ -260,143 +288,161 @@ class Ranks:
 
 
 def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom | None) -> DataFrame:
-    """Occurrences of phrases of m words by parts: blocks of tiles, and rows (left, right, c) beyond the head."""
+    """Occurrences of phrases of m words by parts: blocks of tiles, and of key ranges beyond the head."""
     sent = source.sparkSession.sparkContext.broadcast((Ranks(head), tail))
 
     def run(batches):
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
         ranks, others = sent.value
-        tiles = Tiles()
-        near, far = [], []  # (left, right): ranks; keys
-        pending = 0
-
-        def fold():
-            if near:
-                tiles.add(*(np.concatenate(x) for x in zip(*near)))
-            left, right = (np.concatenate(x) for x in zip(*far)) if far else (np.zeros(0, np.uint64),) * 2
-            if not len(left):
-                return None
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-            return left[first], right[first], np.diff(np.append(first, len(left)))
-
-        for _, words in _chunks(batches):
-            keys, valid = words.phrases(m - 1)
-            if len(keys) < 2:
-                continue
-            rank = ranks.of(keys)
-            known = valid & (rank >= 0)
-            if others is not None:
-                unranked = np.flatnonzero(valid & (rank < 0))
-                known[unranked[others.has(keys[unranked])]] = True
-            # two phrases of m - 1 words overlap in m - 2, and are in one piece if the words that follow are joined
-            at = np.flatnonzero(known[:-1] & known[1:] & words.joined[:len(keys) - 1])
-            ranked = (rank[at] >= 0) & (rank[at + 1] >= 0)
-            near.append((rank[at[ranked]], rank[at[ranked] + 1]))
-            far.append((keys[at[~ranked]], keys[at[~ranked] + 1]))
-            pending += len(at)
-            if pending > PAIRS:
-                rows = fold()
+
+        def counted():
+            tiles, beyond = Tiles(), Far()
+            near, far = [], []  # (left, right): ranks; keys
+            pending = 0
+
+            def fold():
+                nonlocal near, far, beyond, pending
+                if near:
+                    tiles.add(*(np.concatenate(x) for x in zip(*near)))
+                if far:
+                    left, right = (np.concatenate(x) for x in zip(*far))
+                    beyond = Far.merged([beyond, Far(left, right, np.ones(len(left), np.int64))])
                 near, far, pending = [], [], 0
-                if rows:
-                    yield from _pair_batches(*rows)
-                if len(tiles.pairs) > LISTED:
-                    yield from _block_batches(task, tiles.blocks(False))
-        rows = fold()
-        if rows:
-            yield from _pair_batches(*rows)
-        yield from _block_batches(task, tiles.blocks(True))
-        del tiles
+
+            for _, words in _chunks(batches):
+                keys, valid = words.phrases(m - 1)
+                if len(keys) < 2:
+                    continue
+                rank = ranks.of(keys)
+                known = valid & (rank >= 0)
+                if others is not None:
+                    unranked = np.flatnonzero(valid & (rank < 0))
+                    known[unranked[others.has(keys[unranked])]] = True
+                # two phrases of m - 1 words overlap in m - 2, and are in one piece if the words that follow are joined
+                at = np.flatnonzero(known[:-1] & known[1:] & words.joined[:len(keys) - 1])
+                ranked = (rank[at] >= 0) & (rank[at + 1] >= 0)
+                near.append((rank[at[ranked]], rank[at[ranked] + 1]))
+                far.append((keys[at[~ranked]], keys[at[~ranked] + 1]))
+                pending += len(at)
+                if pending > PAIRS:
+                    fold()
+                    if len(tiles.pairs) > LISTED:
+                        yield from tiles.blocks(False)
+                    if len(beyond) > LISTED:
+                        yield from beyond.blocks()
+                        beyond = Far()
+            fold()
+            yield from tiles.blocks(True)
+            yield from beyond.blocks()
+
+        yield from _batches((tile, task, first, block) for tile, first, block in counted())
         tb.trim()
 
-    found = shared.written(source.mapInArrow(run, "tile int, run int, block binary, left long, right long, c long"), "pairs")
+    found = shared.written(source.mapInArrow(run, _SQL_OUT), "pairs")
     sent.unpersist()
     return found
 
 
+class _TileSum:
+    """Sum of the blocks of one tile: a list, or a dense tile when there are many entries."""
+
+    def __init__(self, tile: int):
+        self.tile, self.held, self.total = tile, [], None
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        cells, counts = np.concatenate(self.held, axis=1)
+        self.held = []
+        if self.total is None and len(cells) < TILE * TILE // DENSE_SHARE:
+            return _sums(cells, counts)
+        self.total = np.zeros(TILE * TILE, np.int64) if self.total is None else self.total
+        np.add.at(self.total, cells, counts)
+        cells = np.flatnonzero(self.total)
+        return cells, self.total[cells]
+
+    def add(self, first: int, block: pa.Scalar) -> Iterator[tuple[int, int, bytes]]:
+        if len(self.held) == FAN_IN:
+            now = self.fold()
+            self.held = [np.stack(now)] if self.total is None else []
+        self.held.append(_unpacked(block))
+        return iter(())
+
+    def close(self) -> Iterator[tuple[int, int, bytes]]:
+        yield from _blocks(self.tile, *self.fold())
+
+
+class _RangeSum:
+    """Merge of the blocks of one key range, which come in the order of their first keys: what is below the next
+    block's first key is final."""
+
+    def __init__(self, tile: int):
+        self.held: list[Far] = []
+        self.size = 0
+
+    def add(self, first: int, block: pa.Scalar) -> Iterator[tuple[int, int, bytes]]:
+        if self.size > PAIRS:
+            all_ = Far.merged(self.held)
+            below = int(np.searchsorted(all_.key >> np.uint64(1), np.uint64(first)))
+            yield from all_.slice(0, below).blocks()
+            self.held = [all_.slice(below, len(all_))]
+            self.size = len(self.held[0])
+        self.held.append(Far.unpacked(block))
+        self.size += len(self.held[-1])
+
+    def close(self) -> Iterator[tuple[int, int, bytes]]:
+        yield from Far.merged(self.held).blocks()
+
+
 def merge_tiles(blocks: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """tile, block: one sum for every tile, in rounds that add up the blocks of ``fan_in`` tasks."""
+    """One sum for every tile and key range, in rounds that add up the blocks of ``fan_in`` tasks."""
     def run(batches):
-        now, held, total = None, [], None
-
-        def fold():
-            """The held blocks as one list, or added to the dense tile if they are many."""
-            nonlocal held, total
-            cells, counts = np.concatenate(held, axis=1)
-            held = []
-            if total is None and len(cells) < TILE * TILE // DENSE_SHARE:
-                return _sums(cells, counts)
-            total = np.zeros(TILE * TILE, np.int64) if total is None else total
-            np.add.at(total, cells, counts)
-            cells = np.flatnonzero(total)
-            return cells, total[cells]
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["tile", "run", "block"])
-
-        out, size = [], 0
-        for part in batches:
-            keys = zip(part.column("tile").to_pylist(), part.column("run").to_pylist())
-            for key, block in zip(keys, part.column("block")):
-                if key != now:
-                    if now is not None:
-                        out += [(*now, b) for _, b in _blocks(now[0], *fold())]
-                        size += len(out[-1][2])
-                    if size > tb.CHUNK_BYTES or len(out) > 4096:
-                        yield batch(out)
-                        out, size = [], 0
-                    now, held, total = key, [], None
-                if len(held) == FAN_IN:
-                    fold_now = fold()
-                    held = [np.stack(fold_now)] if total is None else [np.zeros((2, 0), np.int64)]
-                held.append(_unpacked(block))
-        if now is not None:
-            out += [(*now, b) for _, b in _blocks(now[0], *fold())]
-        if out:
-            yield batch(out)
-        held, total = [], None
+        def merged():
+            now, total = None, None
+            for part in batches:
+                rows = zip(*(part.column(c).to_pylist() for c in ("tile", "run", "first")))
+                for (tile, task, first), block in zip(rows, part.column("block")):
+                    if (tile, task) != now:
+                        if total is not None:
+                            yield from ((t, now[1], f, b) for t, f, b in total.close())
+                        now, total = (tile, task), (_TileSum if tile >= 0 else _RangeSum)(tile)
+                    yield from ((t, task, f, b) for t, f, b in total.add(first, block))
+            if total is not None:
+                yield from ((t, now[1], f, b) for t, f, b in total.close())
+
+        yield from _batches(merged())
         tb.trim()
 
     while True:
         runs = -(-runs // fan_in)
         up = blocks.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        blocks = (up.repartition("tile", "run").sortWithinPartitions("tile", "run")
-                  .mapInArrow(run, "tile int, run int, block binary"))
+        blocks = (up.repartition("tile", "run").sortWithinPartitions("tile", "run", "first")
+                  .mapInArrow(run, _SQL_OUT))
         if runs <= 1:
             return blocks
 
 
 def _from_tiles(blocks: DataFrame, head: np.ndarray, least: int) -> DataFrame:
-    """left, right, c of the merged cells that reach ``least``."""
+    """left, right, c, key of the merged pairs that reach ``least``."""
     sent = blocks.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         for batch in batches:
             for tile, block in zip(batch.column("tile").to_pylist(), batch.column("block")):
-                cells, counts = _unpacked(block)
-                cells, counts = cells[counts >= least], counts[counts >= least]
-                if len(cells):
-                    left = tile // (HEAD // TILE) * TILE + cells // TILE
-                    right = tile % (HEAD // TILE) * TILE + cells % TILE
+                if tile < 0:
+                    pairs = Far.unpacked(block)
+                    left, right, counts = pairs.left, pairs.right, pairs.counts
+                else:
+                    cells, counts = _unpacked(block)
+                    left = sent.value[tile // (HEAD // TILE) * TILE + cells // TILE]
+                    right = sent.value[tile % (HEAD // TILE) * TILE + cells % TILE]
+                often = counts >= least
+                if often.any():
+                    left, right = left[often], right[often]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sent.value[x].view(np.int64)) for x in (left, right)] + [pa.array(counts)],
-                        ["left", "right", "c"])
-
-    return blocks.select("tile", "block").mapInArrow(run, "left long, right long, c long")
-
-
-def _named(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the key of the phrase that each pair is."""
-    def run(batches):
-        for batch in batches:
-            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "right"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(join_keys(left, right).view(np.int64))],
-                                             ["left", "right", "c", "key"])
+                        [*(pa.array(x.view(np.int64)) for x in (left, right)), pa.array(counts[often]),
+                         pa.array(join_keys(left, right).view(np.int64))], ["left", "right", "c", "key"])
 
-    return pairs.mapInArrow(run, "left long, right long, c long, key long")
+    return blocks.select("tile", "block").mapInArrow(run, "left long, right long, c long, key long")
 
 
 def _next(source: DataFrame, shorter: DataFrame, m: int, least: int) -> DataFrame | None:
@@ -409,14 +455,10 @@ def _next(source: DataFrame, shorter: DataFrame, m: int, least: int) -> DataFram
     tail = bloom.build(shorter.select("key"), "key", n) if n > len(head) else None
     found = count_pairs(source, m, head, tail)
     runs = (found.agg(F.max("run")).first()[0] or 0) + 1
-    merged = merge_tiles(found.filter(F.col("tile").isNotNull()).select("tile", "run", "block"), runs, FAN_IN)
-    frequent = _from_tiles(merged, head, least)
-    if tail is not None:
-        rows = found.filter(F.col("tile").isNull()).groupBy("left", "right").agg(F.sum("c").alias("c"))
-        frequent = frequent.unionAll(rows.filter(F.col("c") >= least))
+    frequent = _from_tiles(merge_tiles(found, runs, FAN_IN), head, least)
     first = shorter.select("lang", F.col("key").alias("left"), "phrase", "heads")
     last = shorter.select(F.col("key").alias("right"), F.col("last").alias("_last"), F.col("tails").alias("_tails"))
-    phrases = (_named(frequent).join(first, "left").join(last, "right").select(
+    phrases = (frequent.join(first, "left").join(last, "right").select(
         "lang", "key", "left", "right", F.col("c").alias("a"), F.concat_ws(" ", "phrase", "_last").alias("phrase"),
         F.col("_last").alias("last"), F.concat("heads", F.array("c")).alias("heads"),
         F.concat("_tails", F.array("c")).alias("tails")))

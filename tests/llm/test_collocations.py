@@ -54,8 +54,8 @@ def corpus(seed, n=300):
 
 @pytest.mark.parametrize("seed,least,share,sizes", [
     (1, 8, 100, {}),
-    (2, 5, 100, {"HEAD": 16, "TILE": 4, "PAIRS": 500, "WORDS": 20, "DENSE_TILES": 2}),
-    (3, 5, 60, {"HEAD": 64, "TILE": 8, "PAIRS": 100, "BLOCK": 7, "DENSE_SHARE": 64, "FAN_IN": 2}),
+    (2, 5, 100, {"HEAD": 16, "TILE": 4, "PAIRS": 500, "LISTED": 300, "WORDS": 20, "DENSE_TILES": 2, "BLOCK": 50}),
+    (3, 5, 60, {"HEAD": 64, "TILE": 8, "PAIRS": 100, "LISTED": 200, "BLOCK": 7, "RANGE_BITS": 2, "DENSE_SHARE": 64, "FAN_IN": 2}),
 ])
 def test_equals_brute_force(spark, monkeypatch, seed, least, share, sizes):
     """Workers import the module themselves, so the sizes are set there too while a task runs."""
@@ -105,7 +105,7 @@ def test_blocks_hold_counts_beyond_32_bits():
     from reviewlens.llm import collocations
     counts = np.array([5, (1 << 33) + 9, 1], np.int64)
     got = collections.Counter()
-    for _, block in collocations._blocks(3, np.array([1, 2, 9]), counts):
+    for _, _, block in collocations._blocks(3, np.array([1, 2, 9]), counts):
         for cell, c in collocations._unpacked(pa.scalar(block)).T.tolist():
             got[cell] += c
     assert got == {1: 5, 2: (1 << 33) + 9, 9: 1}
