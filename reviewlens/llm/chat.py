@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.llm import shared
+
 OPEN, MIDDLE, CLOSE = "<s>[", "] ", " </s>"
 ESCAPES = (("\\", "\\\\"), ("<", "\\l"), ("[", "\\b"), ("]", "\\e"))
 _BACK = {"\\": "\\", "l": "<", "b": "[", "e": "]"}
 _TURN = re.compile(r"<s>\[([^\]]*)\] ([^<]*) </s>")
 LEARNED_ROLE = "assistant"
 PIECE = 2_000
+RANGE_TEXT = 64  # characters of a text that range bounds look at; the sort looks at all
 
 
 def escape(c: Column) -> Column:
@@ -43,12 +46,16 @@ def unescape(text: str) -> str:
 
 
 def events_from_turns(turns: DataFrame) -> DataFrame:
-    """The log that streaming each turn would leave: a start, then deltas of PIECE characters."""
-    rows = (turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"),
-                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-            .groupBy("conv_id", "turn", "role", "text").count())
-    messages = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).withColumn(
-        "message", F.struct("turn", "role", F.xxhash64("text").alias("digest"), "copy"))
+    """The log that streaming each turn would leave: a start, then deltas of PIECE characters.
+
+    Rows are dealt by ranges of (conv_id, turn, role, first characters) and sorted with their whole texts, so a row's
+    number is its place in (turn, role, text) order."""
+    rows = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"),
+                        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, RANGE_TEXT))
+    messages = shared.written(dealt.sortWithinPartitions("conv_id", "turn", "role", "text").withColumn(
+        "message", F.struct("turn", "role", F.monotonically_increasing_id().alias("place"))), "messages")
     deltas = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))),
         lambda k: F.struct((k + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"),

@@ -128,6 +128,23 @@ def test_chat_fold_and_marks_inside_texts(spark):
     assert chat.read_back(chat.render(chat.fold(df.limit(0)))).count() == 0
 
 
+def test_turns_of_one_number_are_ordered_by_role_and_text(spark):
+    from reviewlens.llm import chat
+    rng = np.random.default_rng(4)
+    rows = [(1, 0, "user", t) for t in "fbdace"] + [(1, 0, "assistant", "z"), (1, 0, "user", "b"), (1, None, "user", "q")]
+    rows += [(2, t, ["user", "assistant"][t % 2], f"turn {t} " + "é" * int(rng.integers(0, 9))) for t in range(700)]
+    rows += [(3, 0, "assistant", "w" * 70_001), (3, 0, "assistant", "w" * 70_000), (4, 5, "user", "same start " * 9 + "b"),
+             (4, 5, "user", "same start " * 9 + "a"), (4, 5, None, None)]
+    turns = spark.createDataFrame([(*r, "m", 1) for r in rows], "conv_id long, turn long, role string, text string, message string, seq int")
+    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(chat.events_from_turns(turns.repartition(6))))).collect()}
+    for conv in (1, 2, 3, 4):
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in own)
+        learned = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def test_pipeline_keeps_columns_and_only_narrows(spark):
     import corpus_pipeline
     docs = corpus_pipeline.table(spark, SF01, "documents")
