@@ -54,6 +54,22 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx",
     return out.drop("_pid", "_mono", "_off")
 
 
+def running_total(df: DataFrame, order: str, size: str, name: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``size`` over all rows before, in the order of a unique column.
+
+    As in :func:`dense_index`: rows are range-partitioned, a partition's rows are summed up by
+    themselves, and the sums of the partitions before (one row each) are added."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_pid").agg(F.sum(size).alias("_sum"))
+    before = sums.select("_pid", F.sum("_sum").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
+    local = F.coalesce(F.sum(size).over(inside), F.lit(0))
+    out = dealt.withColumn("_local", local).join(F.broadcast(before), "_pid")
+    return out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).drop("_pid", "_local", "_off")
+
+
 def consecutive_pairs(df: DataFrame, key: str, pos: str, cols: list[str]) -> DataFrame:
     """Each row with the next row of the same key (pos + 1), as an equi-join.
 

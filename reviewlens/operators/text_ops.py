@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text as T
-from reviewlens.operators.common import dense_index
+from reviewlens.operators.common import dense_index, group_rank, running_total
 
 # Reserved vocabulary ids (pad, unknown, start, end).
 PAD, UNK, SOS, EOS = 0, 1, 2, 3
@@ -40,6 +40,40 @@ def punct_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def numbered_sentences(df: DataFrame, text: str, key: str, min_chars: int = 20, name: str = "sentence_id") -> DataFrame:
+    """(key, pos, sentence, number): the sentences of :func:`dot_sentences` numbered in (key, pos) order.
+
+    Only (key, number of sentences) is ranked and summed up; a document's sentences get its offset
+    plus their place in it, so texts move once, to their offset.  Keys are unique and not null."""
+    pieces = F.filter(F.transform(T.dot_split(text), lambda p, i: F.struct(i.cast("bigint").alias("pos"), p.alias("piece"))),
+                      lambda x: F.length(x["piece"]) > min_chars)
+    offsets = running_total(df.select(key, F.size(pieces).alias("_n")), key, "_n", "_before")
+    found = df.select(key, text).join(offsets.filter("_n > 0").select(key, "_before"), key)
+    return found.select(key, "_before", F.posexplode(pieces).alias("_i", "_p")).select(
+        key, "_p.pos", T.strip_ws("_p.piece").alias("sentence"), (F.col("_before") + F.col("_i")).alias(name))
+
+
+def write_index_maps(df: DataFrame, key: str, idx: str, text: str, path: str, min_chars: int = 40) -> None:
+    """``prod`` (key, place, idx): the reviews of each product in order, a row each, as a product may have any
+    number; ``sents`` (idx, sentences): those of a review, which its text bounds."""
+    group_rank(df.select(key, F.col(idx).alias("idx")), [key], ["idx"], name="place").select(key, "place", "idx").write.parquet(f"{path}/prod")
+    kept = F.filter(T.dot_split(text), lambda p: F.length(p) > min_chars)
+    df.select(F.col(idx).alias("idx"), F.transform(kept, T.strip_ws).alias("sentences")).write.parquet(f"{path}/sents")
+
+
+def read_index_maps(spark, path: str, prod_schema: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(prod_schema).parquet(f"{path}/prod"),
+            spark.read.schema("idx BIGINT, sentences ARRAY<STRING>").parquet(f"{path}/sents"))
+
+
+def sentences_of_products(prod: DataFrame, sents: DataFrame, key: str) -> DataFrame:
+    """(key, place, idx, pos, sentence); a review that ``sents`` lacks is an error, one without sentences isn't."""
+    found = prod.join(sents.withColumn("_known", F.lit(True)), "idx", "left")
+    missing = F.raise_error(F.concat(F.lit("no sentences for review "), F.coalesce(F.col("idx").cast("string"), F.lit("null"))))
+    found = found.withColumn("sentences", F.when(F.col("_known"), F.col("sentences")).otherwise(missing.cast("array<string>")))
+    return found.select(key, "place", "idx", F.posexplode("sentences").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def token_rows(df: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
     """One row per token occurrence with its position."""
     return df.select(*keys, F.posexplode(tokens).alias("tpos", "token")) \

@@ -16,6 +16,7 @@ from reviewlens.functions import hashing as H
 from reviewlens.operators import votes
 from reviewlens.operators.common import dense_index, group_rank
 from reviewlens.operators.text_ops import dot_sentences
+from reviewlens.sources.formats import write_csv
 
 
 def _fake_text(chosen: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -134,7 +135,6 @@ def make_dataset_mk2(reviews: DataFrame, seed: int = 0, bad_ratio: float = .3,
 
 
 def write_training_csv(df: DataFrame, path: str) -> None:
-    """One CSV folder per split (``<path>_train``, ``<path>_val``), header on."""
+    """One CSV folder per split (``<path>_train``, ``<path>_val``), header on, texts as they are."""
     for split in ("train", "val"):
-        (df.filter(F.col("split") == split).select(F.col("review_text").alias("reviewText"), "label")
-         .write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}_{split}"))
+        write_csv(df.filter(F.col("split") == split).select(F.col("review_text").alias("reviewText"), "label"), f"{path}_{split}")

@@ -10,11 +10,6 @@ from reviewlens.operators.common import consecutive_pairs
 from reviewlens.plans.catalog import normalise, register, with_reviews
 from reviewlens.sources.tables import reviews, table
 
-# Contraction phrases appended to review texts so the clean-up
-# chain meets real contractions (the driver's documents contain none).
-PHRASES = ["Can't've said it", "I'd say he's fine", "WON'T they? y'all're late",
-           "o'clock 'cause she'll've"]
-
 SQL_STOP_WORDS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS) + "]"
 
 
@@ -42,12 +37,8 @@ def _sql_word_tokens_clean(x: str) -> str:
     return _sql_words(f"lower({_sql_accents(x)})")
 
 
-_PH = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]"
-
-
 @register("clean_text", with_reviews(f"""
-t AS (SELECT asin, doc_id, review_text || ' ' || ({_PH})[doc_id % 4 + 1] AS raw FROM reviews),
-c AS (SELECT asin, doc_id, {T.expand_contractions_sql(_sql_accents('raw'))} AS clean FROM t)
+c AS (SELECT asin, doc_id, {T.expand_contractions_sql(_sql_accents('review_text'))} AS clean FROM reviews)
 SELECT asin, doc_id, md5(clean) AS clean_md5, CAST(length(clean) AS BIGINT) AS clean_chars,
        CAST(len({_sql_words('clean')}) AS BIGINT) AS n_word_tokens,
        regexp_extract(clean, '[^.]*$') AS tail
@@ -55,14 +46,11 @@ FROM c
 """))
 def q_clean_text(spark, sf_dir):
     r = reviews(spark, sf_dir)
-    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 4 + 1).cast("int"))
-    c = (r.select("asin", "doc_id",
-                  T.remove_accents(F.concat(F.col("review_text"), F.lit(" "), phrase)).alias("folded"))
-         .select("asin", "doc_id", T.expand_contractions("folded").alias("clean")))
+    c = r.select("asin", "doc_id", X.clean_text("review_text").alias("clean"))
     return c.select("asin", "doc_id", F.md5("clean").alias("clean_md5"),
                     F.length("clean").cast("bigint").alias("clean_chars"),
                     F.size(T.word_tokens("clean")).cast("bigint").alias("n_word_tokens"),
-                    F.regexp_extract("clean", "[^.]*$", 0).alias("tail"))
+                    F.substring_index("clean", ".", -1).alias("tail"))
 
 
 @register("standardize_dates", """
@@ -194,11 +182,11 @@ def q_vocabulary_first_seen(spark, sf_dir):
 
 @register("vocabulary_by_freq", f"""
 WITH toks AS (SELECT unnest({_sql_word_tokens_clean('text')}) AS token FROM documents),
-c AS (SELECT token, count(*) AS freq FROM toks GROUP BY token HAVING count(*) >= 2)
+c AS (SELECT token, count(*) AS freq FROM toks GROUP BY token)
 SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 3 AS BIGINT) AS idx, freq FROM c
 """)
 def q_vocabulary_by_freq(spark, sf_dir):
-    return X.vocabulary_by_freq(_doc_tokens(spark, sf_dir), min_freq=2)
+    return X.vocabulary_by_freq(_doc_tokens(spark, sf_dir))
 
 
 @register("sentence_ids_padded", f"""
@@ -270,9 +258,51 @@ SELECT doc_id, pos, sentence, idx FROM (
 WHERE idx % 10 = 0
 """)
 def q_every_kth_sentence(spark, sf_dir):
-    """Every 10th sentence in (doc_id, pos) order, numbered by a distributed
-    dense index (no single-task window over all rows)."""
-    from reviewlens.operators.common import dense_index
+    """Every 10th sentence in (doc_id, pos) order; only the documents' sentence counts are ranked."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", spread_rows=True)
-    s = dense_index(X.dot_sentences(docs, "text", ["doc_id"], min_chars=20), ["doc_id", "pos"])
+    s = X.numbered_sentences(docs, "text", "doc_id", min_chars=20, name="idx")
     return s.filter(F.col("idx") % 10 == 0).select("doc_id", "pos", "sentence", "idx")
+
+
+@register("sentence_length_band", f"""
+SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, {_sql_strip('piece')} AS sentence
+FROM (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS pos
+      FROM (SELECT doc_id, string_split(text, '.') AS parts FROM documents))
+WHERE length(piece) > 42 AND length(piece) < 300
+""")
+def q_sentence_length_band(spark, sf_dir):
+    """Sentences of 43 to 299 characters."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", spread_rows=True)
+    return X.dot_sentences(docs, "text", ["doc_id"], min_chars=42, max_chars=300)
+
+
+@register("index_maps", with_reviews(f"""
+SELECT asin, place, idx, CAST(s - 1 AS BIGINT) AS pos, {_sql_strip('piece')} AS sentence FROM (
+  SELECT asin, place, idx, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS s FROM (
+    SELECT asin, row_number() OVER (PARTITION BY asin ORDER BY doc_id) - 1 AS place, doc_id AS idx,
+           list_filter(string_split(review_text, '.'), lambda p: length(p) > 40) AS pieces FROM reviews))
+"""))
+def q_index_maps(spark, sf_dir):
+    """S7 + J1: both index maps are written and read back; each product's sentences follow from them."""
+    from reviewlens.operators.common import new_path
+    r = reviews(spark, sf_dir).select("asin", "doc_id", "review_text")
+    base = new_path(spark, "maps")
+    X.write_index_maps(r, "asin", "doc_id", "review_text", base, min_chars=40)
+    return X.sentences_of_products(*X.read_index_maps(spark, base, "asin STRING, place BIGINT, idx BIGINT"), key="asin")
+
+
+@register("vocabulary_cache", f"""
+WITH toks AS (SELECT unnest({_sql_word_tokens_clean('text')}) AS token FROM benchmark),
+c AS (SELECT token, count(*) AS freq FROM toks GROUP BY token ORDER BY freq DESC, token LIMIT 1000)
+SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 3 AS BIGINT) AS idx, freq, true AS kept FROM c
+""")
+def q_vocabulary_cache(spark, sf_dir):
+    """S10 + A11: the 1,000 most frequent words are kept as a stage; the second use must not build it."""
+    from reviewlens.operators.common import new_path
+    from reviewlens.plans.stages import Stages, content_digest
+    words = _doc_tokens(spark, sf_dir, "benchmark", "item_id")
+    source, root = content_digest(table(spark, sf_dir, "benchmark")), new_path(spark, "vocabulary")
+    Stages(spark, root).table("vocabulary", 1000, (source,), lambda: X.vocabulary_by_freq(words, max_size=1000))
+    again = Stages(spark, root)
+    found = again.table("vocabulary", 1000, (source,), lambda: X.vocabulary_by_freq(words, max_size=1000))[1]
+    return found.withColumn("kept", F.lit(not again.built))

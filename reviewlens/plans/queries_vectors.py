@@ -13,8 +13,7 @@ from reviewlens.functions import vectors as V
 from reviewlens.functions.hashing import sql_hash32
 from reviewlens.operators import diagnostics as D
 from reviewlens.operators import vectors_ops as VO
-from reviewlens.operators.common import dense_index
-from reviewlens.operators.text_ops import dot_sentences
+from reviewlens.operators.text_ops import numbered_sentences
 from reviewlens.plans.catalog import normalise, register
 from reviewlens.sources.tables import table
 
@@ -221,8 +220,7 @@ FROM ids i JOIN embeddings e ON e.vec_id = i.sentence_id % (SELECT count(*) FROM
 def q_labelled_sentences(spark, sf_dir):
     """Every sentence with the vector and label of its id (modulo the number of vectors)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", spread_rows=True)
-    s = dense_index(dot_sentences(docs, "text", ["doc_id"], min_chars=40),
-                    ["doc_id", "pos"], name="sentence_id")
+    s = numbered_sentences(docs, "text", "doc_id", min_chars=40)
     v = vectors(spark, sf_dir).select("vec_id", "label")
     n = max(v.count(), 1)
     return s.withColumn("vec_id", F.col("sentence_id") % n).join(v, "vec_id").select("sentence_id", "doc_id", "pos", "sentence", "label")

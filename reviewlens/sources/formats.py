@@ -78,9 +78,10 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """S3: CSV with header; quoted fields may span lines."""
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, multi_line: bool = True) -> DataFrame:
+    """S3: CSV with header; quoted fields may span lines.  That makes every file one task; where no field holds a
+    line end, ``multi_line=False`` lets Spark split large files."""
+    return (spark.read.schema(schema).option("header", header).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').csv(path))
 
 

@@ -157,3 +157,50 @@ def test_pair_score_examples_on_ties_and_small_clusters(spark, n):
     want = {(z, r, *pairs[r]) for z, r in want if 0 <= r < m}
     got = D.pair_score_examples(df, "label", "id", "v", tile_rows=4).collect()
     assert sorted((r.zone, r["rank"], r.a, r.b) for r in got) == sorted(want)
+
+
+def test_running_total_over_any_partitions(spark):
+    from reviewlens.operators.common import running_total
+    rows = [(k * 7 % 101, k % 4) for k in range(101)]
+    df = spark.createDataFrame(rows, "k long, n int").repartition(6)
+    for parts in (1, 5, 40):
+        got = {r.k: r.before for r in running_total(df, "k", "n", "before", parts).collect()}
+        total = 0
+        for k, n in sorted(rows):
+            assert got[k] == total
+            total += n
+
+
+def test_numbered_sentences(spark):
+    from reviewlens.operators.text_ops import numbered_sentences
+    docs = spark.createDataFrame([(5, "long enough one. no. long enough two"), (1, "long enough three."), (3, "no"), (4, ""), (2, None)],
+                                 "doc_id long, text string")
+    got = [tuple(r) for r in numbered_sentences(docs, "text", "doc_id", 8).orderBy("sentence_id").collect()]
+    assert got == [(1, 0, "long enough three", 0), (5, 0, "long enough one", 1), (5, 2, "long enough two", 2)]
+
+
+def test_index_maps_and_a_missing_index(spark):
+    from reviewlens.operators import text_ops as X
+    from reviewlens.operators.common import new_path
+    r = spark.createDataFrame([("p", 4, "first sentence. x"), ("p", 2, "short"), ("q", 9, "second sentence here. third sentence")],
+                              "asin string, doc_id long, review_text string")
+    base = new_path(spark, "maps")
+    X.write_index_maps(r, "asin", "doc_id", "review_text", base, min_chars=8)
+    prod, sents = X.read_index_maps(spark, base, "asin STRING, place BIGINT, idx BIGINT")
+    assert sorted(map(tuple, prod.collect())) == [("p", 0, 2), ("p", 1, 4), ("q", 0, 9)]
+    got = sorted(map(tuple, X.sentences_of_products(prod, sents, "asin").collect()))
+    assert got == [("p", 1, 4, 0, "first sentence"), ("q", 0, 9, 0, "second sentence here"), ("q", 0, 9, 1, "third sentence")]
+    with pytest.raises(Exception, match="no sentences for review 4"):
+        X.sentences_of_products(prod, sents.filter("idx <> 4"), "asin").collect()
+
+
+def test_training_csv_keeps_texts(spark):
+    from reviewlens.operators.common import new_path
+    from reviewlens.operators.training_set import write_training_csv
+    from reviewlens.sources.formats import read_csv
+    texts = ["  a b  ", 'say "x", then\nnext', "é, ,"]
+    df = spark.createDataFrame([(t, i / 4, "train" if i else "val") for i, t in enumerate(texts)], "review_text string, label double, split string")
+    path = new_path(spark, "csv")
+    write_training_csv(df, path)
+    back = {r.reviewText: r.label for s in ("train", "val") for r in read_csv(spark, f"{path}_{s}", "reviewText STRING, label DOUBLE").collect()}
+    assert back == {t: i / 4 for i, t in enumerate(texts)}
