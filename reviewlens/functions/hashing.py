@@ -45,6 +45,20 @@ def randint(lo: int | Column, hi: int | Column, *parts) -> Column:
     return (lo_c + F.floor(uniform(*parts) * (hi_c - lo_c))).cast("bigint")
 
 
+def free_id(held: Column, r: Column) -> Column:
+    """The r-th (from 0) of the ids 0, 1, 2, ... that ``held`` (distinct) lacks:
+    r plus the number of held ids with at most r free ids below them."""
+    below = F.transform(F.array_sort(held), lambda v, k: v - k)
+    return r + F.size(F.filter(below, lambda free: free <= r)).cast("bigint")
+
+
+def sample(k: Column, n: Column, *parts) -> Column:
+    """``k`` different ids of 0..n-1 in the order drawn (k <= n); needs the drawn ids only, never all n."""
+    return F.aggregate(
+        F.sequence(F.lit(1).cast("bigint"), k.cast("bigint")), F.array().cast("array<bigint>"),
+        lambda held, i: F.array_append(held, free_id(held, randint(0, n - F.size(held), *parts, i))))
+
+
 def normal(mean: float, sd: float, *parts) -> Column:
     """N(mean, sd) by Box-Muller over two hashed uniforms."""
     u1 = (hash32(*parts, "n1") + F.lit(1)) / F.lit(SCALE + 1)
@@ -66,6 +80,17 @@ def sql_randint(lo: str, hi: str, *parts: str) -> str:
     return f"CAST(({lo}) + floor({sql_uniform(*parts)} * (({hi}) - ({lo}))) AS BIGINT)"
 
 
+def sql_free_id(held: str, r: str) -> str:
+    return (f"(({r}) + len(list_filter(list_transform(list_sort({held}), lambda v, k: v - k + 1), "
+            f"lambda free: free <= ({r}))))::BIGINT")
+
+
+def sql_sample(k: str, n: str, *parts: str) -> str:
+    new = sql_free_id("held", sql_randint("0", f"({n}) - len(held)", *parts, "i[1]"))
+    return (f"list_reduce(list_transform(range(1, ({k}) + 1), lambda i: [i]), "
+            f"lambda held, i: list_append(held, {new}), []::BIGINT[])")
+
+
 def sql_normal(mean: float, sd: float, *parts: str) -> str:
     u1 = f"(({sql_hash32(*parts, chr(39) + 'n1' + chr(39))} + 1) / {SCALE + 1})"
     u2 = sql_uniform(*parts, "'n2'")

@@ -53,6 +53,21 @@ def numbered_sentences(df: DataFrame, text: str, key: str, min_chars: int = 20,
         key, "_p.pos", T.strip_ws("_p.piece").alias("sentence"), (F.col("_before") + F.col("_i")).alias(name))
 
 
+def ranked_sentences(df: DataFrame, group: str, key: str, text: str, min_chars: int = 20, *extra: str) -> DataFrame:
+    """(group, key, pos, sentence, sidx, extra): sentences numbered from 0 within each group in (key, pos) order.
+
+    As in :func:`numbered_sentences` only the counts are ranked; a group's first number is taken off."""
+    pieces = F.filter(F.transform(T.dot_split(text), lambda p, i: F.struct(i.cast("bigint").alias("pos"), p.alias("piece"))),
+                      lambda x: F.length(x["piece"]) > min_chars)
+    counts = df.select(group, key, F.size(pieces).alias("_n")).filter("_n > 0").withColumn("_at", F.struct(group, key))
+    before = running_total(counts, "_at", "_n", "_before")
+    first = before.groupBy(group).agg(F.min("_before").alias("_first"))
+    starts = before.join(first, group).select(group, key, (F.col("_before") - F.col("_first")).alias("_start"))
+    return df.select(group, key, text, *extra).join(starts, [group, key]).select(
+        group, key, *extra, "_start", F.posexplode(pieces).alias("_i", "_p")).select(
+        group, key, "_p.pos", T.strip_ws("_p.piece").alias("sentence"), (F.col("_start") + F.col("_i")).alias("sidx"), *extra)
+
+
 def write_index_maps(df: DataFrame, key: str, idx: str, text: str, path: str, min_chars: int = 40) -> None:
     """``prod`` (key, place, idx): the reviews of each product in order, a row each, as a product may have any
     number; ``sents`` (idx, sentences): those of a review, which its text bounds."""

@@ -9,13 +9,13 @@ guard of mk2 and its number of fakes (two scalars).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions import hashing as H
 from reviewlens.operators import votes
-from reviewlens.operators.common import dense_index, group_rank
-from reviewlens.operators.text_ops import dot_sentences
+from reviewlens.operators.common import dense_index
+from reviewlens.operators.text_ops import ranked_sentences
 from reviewlens.sources.formats import write_csv
 
 
@@ -48,8 +48,7 @@ def make_dataset_mk1(reviews: DataFrame, seed: int = 0, min_total_inters: int =
                                      - F.col("total_help")) / F.col("n_fake"))
     # all sentences of the product's reviews, each with its review's ratio
     rated = act.withColumn("ratio", votes.smoothed_ratio(up_smooth=up_smooth, total_smooth=total_smooth))
-    sents = dot_sentences(rated.select("asin", "doc_id", "review_text", "ratio"), "review_text",
-                          ["asin", "doc_id", "ratio"], min_chars=min_sentence_chars)
+    sents = ranked_sentences(rated, "asin", "doc_id", "review_text", min_sentence_chars, "ratio")
     n_sent = sents.groupBy("asin").agg(F.count(F.lit(1)).alias("n_sent"))
     fakes = (per.join(n_sent, "asin")
              .select("asin", "balance", "n_sent",
@@ -57,13 +56,10 @@ def make_dataset_mk1(reviews: DataFrame, seed: int = 0, min_total_inters: int =
     lo = F.least(F.lit(4), F.col("n_sent"))
     hi = F.least(F.lit(20), F.col("n_sent"))
     fakes = fakes.withColumn("k", H.randint(lo, hi + 1, seed, "mk1k", F.col("asin"), F.col("fake")))
-    # K sentences without replacement = the k smallest hashes for this fake
-    cand = (fakes.select("asin", "fake", "k").join(sents, "asin")
-            .withColumn("_h", H.hash32(seed, "mk1s", F.col("asin"), F.col("fake"),
-                                       F.col("doc_id"), F.col("pos"))))
-    w = Window.partitionBy("asin", "fake").orderBy("_h", "doc_id", "pos")
-    chosen = (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 20)
-              .filter(F.col("_r") <= F.col("k")))
+    # K different positions; sentences are found by position, whatever their number
+    picks = fakes.select("asin", "fake", F.posexplode(H.sample(
+        F.col("k"), F.col("n_sent"), seed, "mk1s", F.col("asin"), F.col("fake"))).alias("_r", "sidx"))
+    chosen = picks.join(sents.select("asin", "sidx", "sentence", "ratio"), ["asin", "sidx"])
     fk = _fake_text(chosen, ["asin", "fake"], "_r").join(fakes.select("asin", "fake", "balance"),
                                                          ["asin", "fake"])
     fk = fk.select("asin", F.lit("fake").alias("kind"), F.col("fake").alias("item"), "review_text",
@@ -97,9 +93,7 @@ def make_dataset_mk2(reviews: DataFrame, seed: int = 0, bad_ratio: float = .3,
     if check_balance and not n_bad < n_helpful:
         raise ValueError(f"class guard failed: n_bad={n_bad} >= n_helpful={n_helpful}")
     pos = votes.positive_product_reviews(reviews, min_rating, min_pos_reviews)
-    sents = dot_sentences(pos.select("asin", "doc_id", "review_text"), "review_text",
-                          ["asin", "doc_id"], min_chars=min_sentence_chars)
-    sents = group_rank(sents, ["asin"], ["doc_id", "pos"], name="sidx")
+    sents = ranked_sentences(pos, "asin", "doc_id", "review_text", min_sentence_chars)
     n_sent = sents.groupBy("asin").agg(F.count(F.lit(1)).alias("n_sent"))
     prods = dense_index(n_sent.select("asin", "n_sent"), ["asin"], name="pidx")
     n_prods = n_sent.count()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text as T
-from reviewlens.functions.hashing import sql_hash32, sql_randint, sql_uniform
+from reviewlens.functions.hashing import sql_free_id, sql_hash32, sql_randint, sql_sample, sql_uniform
 from reviewlens.functions.text import length_penalty
 from reviewlens.operators import mixture as X
 from reviewlens.operators import models as M
@@ -60,16 +60,9 @@ def q_length_penalty(spark, sf_dir):
                                 length_penalty(n).alias("penalty")))
 
 
-def _sql_free_id(held: str, r: str) -> str:
-    return (f"(({r}) + len(list_filter(list_transform(list_sort({held}), lambda v, k: v - k + 1), "
-            f"lambda free: free <= ({r}))))::BIGINT")
-
-
-_NEW_ID = _sql_free_id("held", sql_randint("0", "n_cand - len(held)", "'0'", "'new'", "grp", "ind", "i[1]"))
 _POP_SQL = _CANDS_SQL + f""",
 pop AS (SELECT grp, n_cand, ind, CASE WHEN {_LEN} <= n_cand
-    THEN list_reduce(list_transform(range(1, {_LEN} + 1), lambda i: [i]),
-                     lambda held, i: list_append(held, {_NEW_ID}), []::BIGINT[])
+    THEN {sql_sample(_LEN, "n_cand", "'0'", "'new'", "grp", "ind")}
     ELSE list_transform(range(1, {_LEN} + 1), lambda i:
            {sql_randint('0', 'n_cand', "'0'", "'rep'", 'grp', 'ind', 'i')}) END AS genes
 FROM inds)
@@ -100,7 +93,7 @@ def _sql_without_repeats(x: str, *parts: str) -> str:
     again = (f"list_filter({at}, lambda a: len(list_filter({at}, lambda b: b.g = a.g AND "
              f"(b.h < a.h OR (b.h = a.h AND b.i < a.i)))) > 0)")
     free = "(n_cand - len(list_distinct(held)))"
-    new = _sql_free_id("list_distinct(held)", sql_randint("0", free, *parts, "'fill'", "place[1]"))
+    new = sql_free_id("list_distinct(held)", sql_randint("0", free, *parts, "'fill'", "place[1]"))
     return f"""list_reduce(list_transform({again}, lambda a: [a.i]), lambda held, place:
         CASE WHEN {free} > 0 THEN list_transform(held, lambda g, i:
             CASE WHEN i - 1 = place[1] THEN {new} ELSE g END) ELSE held END, {x})"""

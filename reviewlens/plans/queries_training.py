@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlens.functions.hashing import sql_hash32, sql_normal, sql_randint, sql_uniform
+from reviewlens.functions.hashing import sql_normal, sql_randint, sql_sample, sql_uniform
 from reviewlens.operators import training_set as TS
 from reviewlens.plans.catalog import normalise, register, with_reviews
 from reviewlens.sources.tables import reviews
@@ -42,12 +42,12 @@ fakes AS (SELECT p.asin, p.balance, n.n_sent, f.fake,
                  {sql_randint('least(4, n.n_sent)', 'least(20, n.n_sent) + 1', "'0'", "'mk1k'", 'p.asin', 'f.fake')} AS k
           FROM per2 p JOIN nsent n USING (asin),
                LATERAL (SELECT unnest(range(0, p.n_fake)) AS fake) f),
-cand AS (SELECT f.asin, f.fake, f.k, s.sentence, s.ratio,
-                row_number() OVER (PARTITION BY f.asin, f.fake ORDER BY
-                  {sql_hash32("'0'", "'mk1s'", 'f.asin', 'f.fake', 's.doc_id', 's.pos')}, s.doc_id, s.pos) AS r
-         FROM fakes f JOIN sents s USING (asin)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY asin ORDER BY doc_id, pos) - 1 AS sidx FROM sents),
+picks AS (SELECT asin, fake, unnest(d) AS sidx, generate_subscripts(d, 1) AS r FROM (
+            SELECT asin, fake, {sql_sample('k', 'n_sent', "'0'", "'mk1s'", 'asin', 'fake')} AS d FROM fakes)),
+cand AS (SELECT p.asin, p.fake, p.r, s.sentence, s.ratio FROM picks p JOIN placed s USING (asin, sidx)),
 fk AS (SELECT asin, fake, string_agg(sentence, '. ' ORDER BY r) || '.' AS review_text,
-              avg(ratio) AS rating FROM cand WHERE r <= k GROUP BY asin, fake),
+              avg(ratio) AS rating FROM cand GROUP BY asin, fake),
 fk2 AS (SELECT fk.asin, 'fake' AS kind, fk.fake AS item, fk.review_text,
                greatest(0.0, {sql_normal(0.0, 1.0, "'0'", "'mk1n'", 'fk.asin', 'fk.fake')} * 0.1
                         + fk.rating * f.balance) AS label
