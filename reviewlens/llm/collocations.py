@@ -5,12 +5,12 @@ pair of its first and its last m - 1 words, two phrases of the round before that
 must be frequent, so a round looks only at the phrases that the round before found frequent,
 ranked again by frequency.  The first ``HEAD`` ranks are addresses: the cell (rank of the first,
 rank of the last) lies in one of (HEAD / TILE)^2 square tiles.  A task counts each tile that
-gets many pairs with a dense ``bincount`` and the others as sorted coordinate lists, and hands on
-blocks (tile, cells, counts).  Blocks of a tile are added up in rounds of ``FAN_IN`` tasks, so the
-tile of the commonest phrases is not summed by one task; a merge holds one tile of fixed size.
+gets many pairs with a dense ``bincount`` and the others as sorted coordinate lists, and hands on its cells
+as sorted blocks, by bands of left ranks.  Blocks of a band are merged in rounds of ``FAN_IN`` tasks, so the
+band of the commonest phrases is not summed by one task; what is below the next block is final, so a merge holds a few blocks of each
+of its tasks, and a band has at most BAND x HEAD cells.
 Pairs with a phrase beyond the head have no address: they are lists sorted by the pair's key, cut by
-the key's upper bits into ranges, and merged in the same rounds, block by block, so a merge holds a few blocks of each of its
-``FAN_IN`` tasks.  A bitmap of bounded size leaves out most pairs with a part that is not frequent, and the join with the frequent
+the key's upper bits into ranges, and merged in the same way.  A bitmap of bounded size leaves out most pairs with a part that is not frequent, and the join with the frequent
 phrases decides.  Nothing but the head's keys, the bitmap and the scalar counts is sent to tasks or the driver.
 
 Every occurrence in every whole text is counted: there are no caps, and pruning uses only that a
@@ -35,8 +35,10 @@ from reviewlens.llm import bloom, shared
 from reviewlens.llm import textbatch as tb
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
-HEAD = 1 << 16  # ranks that are addresses
+HEAD = 1 << 16  # ranks that are addresses, at most 2^RANK_BITS
+RANK_BITS = 16
 TILE = 1 << 9  # ranks on one side of a tile
+BAND = 1 << 7  # left ranks whose pairs are merged together
 DENSE_SHARE = 8  # a tile is dense when a batch has a pair for every 8th cell
 DENSE_TILES = 16  # dense tiles that a task holds (2 MB each); further ones are lists
 LISTED = 1 << 20  # list entries that a task holds
@@ -145,61 +147,95 @@ def count_words(source: DataFrame) -> DataFrame:
 
 
 class Tiles:
-    """Counts of pairs of ranks: dense tiles, and a sorted list of (pair, count) for the rest."""
+    """Counts of pairs of ranks: dense tiles, and a sorted list for the rest."""
 
     def __init__(self):
         self.dense: dict[int, np.ndarray] = {}
-        self.pairs, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.listed = Near()
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        left, right = left.astype(np.int64), right.astype(np.int64)
         tile = (left // TILE) * (HEAD // TILE) + right // TILE
-        cell = (left % TILE) * TILE + right % TILE
-        keys = np.sort(tile.astype(np.uint64) << np.uint64(32) | cell.astype(np.uint64))
-        tiles = (keys >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(tiles))
-        listed = np.ones(len(tiles), bool)
-        for lo, hi in zip(edges[ends - edges >= TILE * TILE // DENSE_SHARE], ends[ends - edges >= TILE * TILE // DENSE_SHARE]):
-            t = int(tiles[lo])
+        many = np.flatnonzero(np.bincount(tile, minlength=1) >= TILE * TILE // DENSE_SHARE)
+        rest = np.ones(len(tile), bool)
+        for t in many.tolist():
             if t in self.dense or len(self.dense) < DENSE_TILES:
-                counts = np.bincount((keys[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=TILE * TILE)
+                here = tile == t
+                counts = np.bincount((left[here] % TILE) * TILE + right[here] % TILE, minlength=TILE * TILE)
                 self.dense[t] = self.dense[t] + counts if t in self.dense else counts
-                listed[lo:hi] = False
-        keys = keys[listed]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.pairs, self.counts = _sums(np.concatenate([self.pairs, keys[first]]),
-                                        np.concatenate([self.counts, np.diff(np.append(first, len(keys)))]))
+                rest &= ~here
+        self.listed = Near.merged([self.listed, Near.of(left[rest], right[rest])])
 
     def blocks(self, with_dense: bool) -> Iterator[tuple[int, int, bytes]]:
-        """(tile, 0, block): what is in the list, and at the end also the dense tiles; both are emptied."""
-        tiles = (self.pairs >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else np.zeros(0, np.int64)
-        for lo, hi in zip(edges, np.append(edges[1:], len(tiles))):
-            yield from _blocks(int(tiles[lo]), (self.pairs[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.int64), self.counts[lo:hi])
-        self.pairs, self.counts = self.pairs[:0], self.counts[:0]
+        """Blocks of the list, and at the end of the dense tiles too; both are emptied."""
+        lists = [self.listed]
         if with_dense:
             for t, counts in self.dense.items():
                 cells = np.flatnonzero(counts)
-                yield from _blocks(t, cells, counts[cells])
+                left, right = t // (HEAD // TILE) * TILE + cells // TILE, t % (HEAD // TILE) * TILE + cells % TILE
+                lists.append(Near(left << RANK_BITS | right, counts[cells]))
             self.dense = {}
+        self.listed = Near()
+        yield from Near.merged(lists).blocks()
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    """The number of entries, and compressed steps from cell to cell and counts (cells rise)."""
-    plain = np.stack([np.diff(cells, prepend=0), counts]).astype("<u4").tobytes()
-    return len(cells).to_bytes(4, "little") + _ZSTD.compress(plain, asbytes=True)
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """The number of entries and the compressed columns."""
+    return len(columns[0]).to_bytes(4, "little") + _ZSTD.compress(np.stack(columns).tobytes(), asbytes=True)
 
 
-def _unpacked(block: pa.Scalar) -> np.ndarray:
-    """(2, entries): cells and counts."""
+def _unpacked(block: pa.Scalar, columns: int, kind: str) -> np.ndarray:
     whole = block.as_buffer()
     n = int.from_bytes(whole.slice(0, 4).to_pybytes(), "little")
-    out = np.frombuffer(_ZSTD.decompress(whole.slice(4), 8 * n), "<u4").reshape(2, n).astype(np.int64)
-    np.cumsum(out[0], out=out[0])
-    return out
+    return np.frombuffer(_ZSTD.decompress(whole.slice(4), np.dtype(kind).itemsize * columns * n), kind).reshape(columns, n)
+
+
+class Near:
+    """A list of (left rank, right rank, count) sorted by both, without repeats; ``key`` holds both ranks."""
+
+    def __init__(self, key=(), counts=()):
+        self.key, self.counts = np.asarray(key, np.int64), np.asarray(counts, np.int64)
+
+    def __len__(self):
+        return len(self.key)
+
+    @classmethod
+    def of(cls, left: np.ndarray, right: np.ndarray) -> Near:
+        key = np.sort(left << RANK_BITS | right)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return cls(key[first], np.diff(np.append(first, len(key))))
+
+    @classmethod
+    def merged(cls, parts: list[Near]) -> Near:
+        return cls(*_sums(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "counts"))))
+
+    def slice(self, lo: int, hi: int) -> Near:
+        return Near(self.key[lo:hi], self.counts[lo:hi])
+
+    def below(self, first: int) -> int:
+        """How many entries come before a block that begins with ``first``."""
+        return int(np.searchsorted(self.key, first))
+
+    @classmethod
+    def unpacked(cls, block: pa.Scalar) -> Near:
+        steps, counts = _unpacked(block, 2, "<i8")
+        return cls(np.cumsum(steps), counts)
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
+        """(band, first, block): a band is ``BAND`` left ranks."""
+        band = self.key >> RANK_BITS
+        edges = np.searchsorted(band, np.arange(0, HEAD + BAND, BAND))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            for at in range(edges[b], edges[b + 1], BLOCK):
+                key = self.key[at:min(at + BLOCK, edges[b + 1])]
+                counts = self.counts[at:at + len(key)]
+                yield b, int(key[0]), _packed([np.diff(key, prepend=0), counts])
+
+    def sides(self, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return head[self.key >> RANK_BITS], head[self.key & ((1 << RANK_BITS) - 1)]
 
 
 class Far:
@@ -225,44 +261,33 @@ class Far:
     def slice(self, lo: int, hi: int) -> Far:
         return Far(self.left[lo:hi], self.right[lo:hi], self.counts[lo:hi])
 
-    def packed(self) -> bytes:
-        return len(self).to_bytes(4, "little") + _ZSTD.compress(
-            np.stack([self.left, self.right, self.counts.view(np.uint64)]).tobytes(), asbytes=True)
+    def below(self, first: int) -> int:
+        return int(np.searchsorted(self.key >> np.uint64(1), np.uint64(first)))
 
     @classmethod
     def unpacked(cls, block: pa.Scalar) -> Far:
-        whole = block.as_buffer()
-        n = int.from_bytes(whole.slice(0, 4).to_pybytes(), "little")
-        left, right, counts = np.frombuffer(_ZSTD.decompress(whole.slice(4), 24 * n), np.uint64).reshape(3, n)
+        left, right, counts = _unpacked(block, 3, "<u8")
         return cls(left, right, counts.view(np.int64))
 
     def blocks(self) -> Iterator[tuple[int, int, bytes]]:
-        """(tile, first, block): ranges of keys are tiles -1, -2, ...; ``first`` is the block's first key but its last bit."""
+        """(band, first, block): ranges of keys are bands -1, -2, ...; ``first`` is the block's first key but its last bit."""
         part = (self.key >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
         edges = np.searchsorted(part, np.arange((1 << RANGE_BITS) + 1))
         for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
             for at in range(lo, hi, BLOCK):
                 piece = self.slice(at, min(at + BLOCK, hi))
-                yield -1 - r, int(piece.key[0] >> np.uint64(1)), piece.packed()
+                yield -1 - r, int(piece.key[0] >> np.uint64(1)), _packed([piece.left, piece.right, piece.counts.view(np.uint64)])
 
+    def sides(self, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.left, self.right
 
-def _blocks(tile: int, cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of entries (cell, count < 2^32); a larger count is several entries of one cell."""
-    most = (1 << 32) - 1
-    while len(cells):
-        now = np.minimum(counts, most)
-        for at in range(0, len(cells), BLOCK):
-            yield tile, 0, _packed(cells[at:at + BLOCK], now[at:at + BLOCK])
-        more = counts > most
-        cells, counts = cells[more], counts[more] - most
 
-
-_OUT = pa.schema([("tile", pa.int32()), ("run", pa.int32()), ("first", pa.int64()), ("block", pa.binary())])
-_SQL_OUT = "tile int, run int, first long, block binary"
+_OUT = pa.schema([("band", pa.int32()), ("run", pa.int32()), ("first", pa.int64()), ("block", pa.binary())])
+_SQL_OUT = "band int, run int, first long, block binary"
 
 
 def _batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Record batches of about a megabyte from (tile, run, first, block)."""
+    """Record batches of about a megabyte from (band, run, first, block)."""
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -288,7 +313,7 @@ class Ranks:
 
 
 def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom | None) -> DataFrame:
-    """Occurrences of phrases of m words by parts: blocks of tiles, and of key ranges beyond the head."""
+    """Occurrences of phrases of m words by parts: sorted blocks of bands of tiles, and of key ranges beyond the head."""
     sent = source.sparkSession.sparkContext.broadcast((Ranks(head), tail))
 
     def run(batches):
@@ -327,7 +352,7 @@ def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom |
                 pending += len(at)
                 if pending > PAIRS:
                     fold()
-                    if len(tiles.pairs) > LISTED:
+                    if len(tiles.listed) > LISTED:
                         yield from tiles.blocks(False)
                     if len(beyond) > LISTED:
                         yield from beyond.blocks()
@@ -336,7 +361,7 @@ def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom |
             yield from tiles.blocks(True)
             yield from beyond.blocks()
 
-        yield from _batches((tile, task, first, block) for tile, first, block in counted())
+        yield from _batches((band, task, first, block) for band, first, block in counted())
         tb.trim()
 
     found = shared.written(source.mapInArrow(run, _SQL_OUT), "pairs")
@@ -344,67 +369,39 @@ def count_pairs(source: DataFrame, m: int, head: np.ndarray, tail: bloom.Bloom |
     return found
 
 
-class _TileSum:
-    """Sum of the blocks of one tile: a list, or a dense tile when there are many entries."""
-
-    def __init__(self, tile: int):
-        self.tile, self.held, self.total = tile, [], None
-
-    def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        cells, counts = np.concatenate(self.held, axis=1)
-        self.held = []
-        if self.total is None and len(cells) < TILE * TILE // DENSE_SHARE:
-            return _sums(cells, counts)
-        self.total = np.zeros(TILE * TILE, np.int64) if self.total is None else self.total
-        np.add.at(self.total, cells, counts)
-        cells = np.flatnonzero(self.total)
-        return cells, self.total[cells]
-
-    def add(self, first: int, block: pa.Scalar) -> Iterator[tuple[int, int, bytes]]:
-        if len(self.held) == FAN_IN:
-            now = self.fold()
-            self.held = [np.stack(now)] if self.total is None else []
-        self.held.append(_unpacked(block))
-        return iter(())
-
-    def close(self) -> Iterator[tuple[int, int, bytes]]:
-        yield from _blocks(self.tile, *self.fold())
-
-
-class _RangeSum:
-    """Merge of the blocks of one key range, which come in the order of their first keys: what is below the next
-    block's first key is final."""
+class _Sum:
+    """Merge of the blocks of one band, which come in the order of their first entries: what is below the next
+    block's first entry is final."""
 
-    def __init__(self, tile: int):
-        self.held: list[Far] = []
-        self.size = 0
+    def __init__(self, kind: type):
+        self.kind, self.held, self.size = kind, [], 0
 
     def add(self, first: int, block: pa.Scalar) -> Iterator[tuple[int, int, bytes]]:
         if self.size > PAIRS:
-            all_ = Far.merged(self.held)
-            below = int(np.searchsorted(all_.key >> np.uint64(1), np.uint64(first)))
-            yield from all_.slice(0, below).blocks()
-            self.held = [all_.slice(below, len(all_))]
+            whole = self.kind.merged(self.held)
+            final = whole.below(first)
+            yield from whole.slice(0, final).blocks()
+            self.held = [whole.slice(final, len(whole))]
             self.size = len(self.held[0])
-        self.held.append(Far.unpacked(block))
+        self.held.append(self.kind.unpacked(block))
         self.size += len(self.held[-1])
 
     def close(self) -> Iterator[tuple[int, int, bytes]]:
-        yield from Far.merged(self.held).blocks()
+        yield from self.kind.merged(self.held).blocks()
 
 
-def merge_tiles(blocks: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """One sum for every tile and key range, in rounds that add up the blocks of ``fan_in`` tasks."""
+def merge_bands(blocks: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One sum for every band, in rounds that add up the blocks of ``fan_in`` tasks."""
     def run(batches):
         def merged():
             now, total = None, None
             for part in batches:
-                rows = zip(*(part.column(c).to_pylist() for c in ("tile", "run", "first")))
-                for (tile, task, first), block in zip(rows, part.column("block")):
-                    if (tile, task) != now:
+                rows = zip(*(part.column(c).to_pylist() for c in ("band", "run", "first")))
+                for (band, task, first), block in zip(rows, part.column("block")):
+                    if (band, task) != now:
                         if total is not None:
                             yield from ((t, now[1], f, b) for t, f, b in total.close())
-                        now, total = (tile, task), (_TileSum if tile >= 0 else _RangeSum)(tile)
+                        now, total = (band, task), _Sum(Near if band >= 0 else Far)
                     yield from ((t, task, f, b) for t, f, b in total.add(first, block))
             if total is not None:
                 yield from ((t, now[1], f, b) for t, f, b in total.close())
@@ -415,34 +412,29 @@ def merge_tiles(blocks: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame
     while True:
         runs = -(-runs // fan_in)
         up = blocks.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        blocks = (up.repartition("tile", "run").sortWithinPartitions("tile", "run", "first")
+        blocks = (up.repartition("band", "run").sortWithinPartitions("band", "run", "first")
                   .mapInArrow(run, _SQL_OUT))
         if runs <= 1:
             return blocks
 
 
-def _from_tiles(blocks: DataFrame, head: np.ndarray, least: int) -> DataFrame:
+def _frequent(blocks: DataFrame, head: np.ndarray, least: int) -> DataFrame:
     """left, right, c, key of the merged pairs that reach ``least``."""
     sent = blocks.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         for batch in batches:
-            for tile, block in zip(batch.column("tile").to_pylist(), batch.column("block")):
-                if tile < 0:
-                    pairs = Far.unpacked(block)
-                    left, right, counts = pairs.left, pairs.right, pairs.counts
-                else:
-                    cells, counts = _unpacked(block)
-                    left = sent.value[tile // (HEAD // TILE) * TILE + cells // TILE]
-                    right = sent.value[tile % (HEAD // TILE) * TILE + cells % TILE]
-                often = counts >= least
+            for band, block in zip(batch.column("band").to_pylist(), batch.column("block")):
+                pairs = (Near if band >= 0 else Far).unpacked(block)
+                left, right = pairs.sides(sent.value)
+                often = pairs.counts >= least
                 if often.any():
                     left, right = left[often], right[often]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x.view(np.int64)) for x in (left, right)), pa.array(counts[often]),
+                        [*(pa.array(x.view(np.int64)) for x in (left, right)), pa.array(pairs.counts[often]),
                          pa.array(join_keys(left, right).view(np.int64))], ["left", "right", "c", "key"])
 
-    return blocks.select("tile", "block").mapInArrow(run, "left long, right long, c long, key long")
+    return blocks.select("band", "block").mapInArrow(run, "left long, right long, c long, key long")
 
 
 def _next(source: DataFrame, shorter: DataFrame, m: int, least: int) -> DataFrame | None:
@@ -455,7 +447,7 @@ def _next(source: DataFrame, shorter: DataFrame, m: int, least: int) -> DataFram
     tail = bloom.build(shorter.select("key"), "key", n) if n > len(head) else None
     found = count_pairs(source, m, head, tail)
     runs = (found.agg(F.max("run")).first()[0] or 0) + 1
-    frequent = _from_tiles(merge_tiles(found, runs, FAN_IN), head, least)
+    frequent = _frequent(merge_bands(found, runs, FAN_IN), head, least)
     first = shorter.select("lang", F.col("key").alias("left"), "phrase", "heads")
     last = shorter.select(F.col("key").alias("right"), F.col("last").alias("_last"), F.col("tails").alias("_tails"))
     phrases = (frequent.join(first, "left").join(last, "right").select(

@@ -54,8 +54,8 @@ def corpus(seed, n=300):
 
 @pytest.mark.parametrize("seed,least,share,sizes", [
     (1, 8, 100, {}),
-    (2, 5, 100, {"HEAD": 16, "TILE": 4, "PAIRS": 500, "LISTED": 300, "WORDS": 20, "DENSE_TILES": 2, "BLOCK": 50}),
-    (3, 5, 60, {"HEAD": 64, "TILE": 8, "PAIRS": 100, "LISTED": 200, "BLOCK": 7, "RANGE_BITS": 2, "DENSE_SHARE": 64, "FAN_IN": 2}),
+    (2, 5, 100, {"HEAD": 16, "TILE": 4, "PAIRS": 500, "LISTED": 300, "WORDS": 20, "DENSE_TILES": 2, "BLOCK": 50, "BAND": 4}),
+    (3, 5, 60, {"HEAD": 64, "TILE": 8, "PAIRS": 100, "LISTED": 200, "BLOCK": 7, "BAND": 16, "RANGE_BITS": 2, "DENSE_SHARE": 64, "FAN_IN": 2}),
 ])
 def test_equals_brute_force(spark, monkeypatch, seed, least, share, sizes):
     """Workers import the module themselves, so the sizes are set there too while a task runs."""
@@ -101,14 +101,19 @@ def test_exact_beyond_64_bits(spark):
     assert r.score == 1000 * big * 40 * big // ((big + 7) * (big + 1)) and (r.l, r.r) == (big + 7, big + 1)
 
 
-def test_blocks_hold_counts_beyond_32_bits():
-    from reviewlens.llm import collocations
-    counts = np.array([5, (1 << 33) + 9, 1], np.int64)
-    got = collections.Counter()
-    for _, _, block in collocations._blocks(3, np.array([1, 2, 9]), counts):
-        for cell, c in collocations._unpacked(pa.scalar(block)).T.tolist():
-            got[cell] += c
-    assert got == {1: 5, 2: (1 << 33) + 9, 9: 1}
+def test_blocks_come_back_whole():
+    from reviewlens.llm import collocations as col
+    rng = np.random.default_rng(0)
+    left, right = rng.integers(0, 60_000, 30_000), rng.integers(0, 60_000, 30_000)
+    near = col.Near.of(left, right)
+    near.counts[5] = (1 << 40) + 3
+    back = col.Near.merged([col.Near.unpacked(pa.scalar(b)) for _, _, b in near.blocks()])
+    assert np.array_equal(back.key, near.key) and np.array_equal(back.counts, near.counts)
+    assert all(f == col.Near.unpacked(pa.scalar(b)).key[0] and b_ == f >> 16 >> 7 for b_, f, b in near.blocks())
+    far = col.Far.merged([col.Far(left, right, np.ones(len(left))), col.Far(left[:9], right[:9], np.full(9, 1 << 33))])
+    back = col.Far.merged([col.Far.unpacked(pa.scalar(b)) for _, _, b in far.blocks()])
+    assert all(np.array_equal(getattr(back, c), getattr(far, c)) for c in ("left", "right", "counts"))
+    assert far.counts.sum() == len(left) + 9 * (1 << 33)
 
 
 def test_nothing_to_find(spark):
