@@ -27,30 +27,45 @@ def pair_scores(df: DataFrame, label: str, id_col: str, feat: str,
                         score(F.col(f"{feat}_a"), F.col(f"{feat}_b")).alias("score"))
 
 
+def cosine_means(df: DataFrame, label: str, feat: str) -> DataFrame:
+    """(label, avg_score): the mean cosine of a cluster's pairs without forming them.
+
+    With unit vectors u the pairs' cosines add up to (|sum u|^2 - n) / 2; vectors of zeros have no cosine."""
+    unit = df.select(label, V.norm(feat).alias("_norm"), F.col(feat).cast("array<double>").alias("_v")).filter("_norm > 0")
+    cells = (unit.select(label, "_norm", F.posexplode("_v").alias("_dim", "_x"))
+             .groupBy(label, "_dim").agg(F.sum(F.col("_x") / F.col("_norm")).alias("_s"), F.count(F.lit(1)).alias("_n")))
+    total = cells.groupBy(label).agg(F.sum(F.col("_s") * F.col("_s")).alias("_s2"), F.max("_n").alias("_n"))
+    return total.filter("_n > 1").select(label, ((F.col("_s2") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))).alias("avg_score"))
+
+
 def pair_score_stats(df: DataFrame, label: str, id_col: str, feat: str,
-                     score: ScoreFn = V.cosine, tile_rows: int = 2048) -> DataFrame:
+                     score: ScoreFn = V.cosine, tile_rows: int = 2048, means: DataFrame | None = None) -> DataFrame:
     """M14 + A8 + A9: per cluster the mean, population variance, the min and max
     pairs, and the pair whose score is closest to the mean (absolute distance;
     ties -> smallest ids).  Clusters of one member get a row with NULL stats.
+
+    ``means`` (label, avg_score), where they follow from less than the pairs (:func:`cosine_means`), save
+    the pass over all pairs that only finds them.
     """
     a, b = f"{id_col}_a", f"{id_col}_b"
     sc = pair_scores(df, label, id_col, feat, score, tile_rows)
+    if means is None:
+        means = sc.groupBy(label).agg(F.avg("score").alias("avg_score"))
     key_min = F.struct(F.col("score").alias("score"), F.col(a).alias("a"), F.col(b).alias("b"))
     key_max = F.struct(F.col("score").alias("score"), (-F.col(a)).alias("a"),
                        (-F.col(b)).alias("b"))
-    stats = sc.groupBy(label).agg(
+    key_near = F.struct(F.abs(F.col("score") - F.col("avg_score")).alias("gap"), F.col(a).alias("a"),
+                        F.col(b).alias("b"), F.col("score").alias("score"))
+    out = sc.join(means.select(label, "avg_score"), label, "left").groupBy(label).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("score").alias("avg_score"),
         F.var_pop("score").alias("var_score"),
         F.min(key_min).alias("_mn"),
         F.max(key_max).alias("_mx"),
+        F.min(F.when(key_near["gap"].isNotNull(), key_near)).alias("_na"),
     )
-    near = (sc.join(stats.select(label, "avg_score"), label)
-            .groupBy(label).agg(F.min(F.struct(
-                F.abs(F.col("score") - F.col("avg_score")).alias("gap"), F.col(a).alias("a"),
-                F.col(b).alias("b"), F.col("score").alias("score"))).alias("_na")))
     labels = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    out = labels.join(stats, label, "left").join(near, label, "left")
+    out = labels.join(out, label, "left")
     return out.select(
         label, "size", F.coalesce(F.col("n_pairs"), F.lit(0)).alias("n_pairs"),
         "avg_score", "var_score",

@@ -247,8 +247,9 @@ SELECT sz.label, sz.size, coalesce(s.n_pairs, 0) AS n_pairs, round(s.avg_score,
 FROM sz LEFT JOIN s USING (label) LEFT JOIN na USING (label)
 """)
 def q_pair_score_stats(spark, sf_dir):
-    return normalise(D.pair_score_stats(vectors(spark, sf_dir), "label", "vec_id", "vec",
-                                        V.cosine, tile_rows=64))
+    v = vectors(spark, sf_dir)
+    return normalise(D.pair_score_stats(v, "label", "vec_id", "vec", V.cosine, tile_rows=64,
+                                        means=D.cosine_means(v, "label", "vec")))
 
 
 @register("pair_score_examples", f"""

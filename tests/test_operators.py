@@ -204,3 +204,18 @@ def test_training_csv_keeps_texts(spark):
     write_training_csv(df, path)
     back = {r.reviewText: r.label for s in ("train", "val") for r in read_csv(spark, f"{path}_{s}", "reviewText STRING, label DOUBLE").collect()}
     assert back == {t: i / 4 for i, t in enumerate(texts)}
+
+
+def test_mean_cosine_without_pairs(spark):
+    from reviewlens.functions import vectors as V
+    from reviewlens.operators import diagnostics as D
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i % 3), (rng.normal(size=4) * (1 + i)).tolist()) for i in range(30)] + [(90, 0, [0.0] * 4), (91, 7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, vec array<double>")
+    means = {r.label: r.avg_score for r in D.cosine_means(df, "label", "vec").collect()}
+    assert set(means) == {0, 1, 2}
+    one = D.pair_score_stats(df, "label", "vec_id", "vec", V.cosine).orderBy("label").collect()
+    two = D.pair_score_stats(df, "label", "vec_id", "vec", V.cosine, means=D.cosine_means(df, "label", "vec")).orderBy("label").collect()
+    for x, y in zip(one, two):
+        assert x.label == y.label and x.near_avg_a == y.near_avg_a and x.near_avg_b == y.near_avg_b
+        assert (x.avg_score is None) == (x.label == 7) and (x.avg_score is None or abs(means[x.label] - x.avg_score) < 1e-12)
