@@ -13,7 +13,8 @@ verified: at least half of the five-word shingles of its question and of its ans
 must occur in the passage.  The question of an item goes to its last question mark, or else is its first half.
 
 The index is built in shards of at most about ``SHARD_BYTES`` of item text, dealt by a hash
-of the item's id and text.  A Spark task builds a shard's index and writes it to the shared folder; every
+of the item's id and text; item counts of terms, the mean length and the stride are those of the whole benchmark, so scores
+don't depend on the shards.  A Spark task builds a shard's index and writes it to the shared folder; every
 shard is searched by all passages.  A scoring task takes about ``GROUP_BYTES`` of text at a time and opens
 one shard after the other, so it holds one index; documents are read once.
 
@@ -28,6 +29,7 @@ import pickle
 from bisect import bisect_left
 from functools import lru_cache
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +66,24 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return tb.grams(hashes, np.array([0, len(hashes)]), n)[0] if n else np.zeros(0, np.uint64)
 
 
+class Statistics(NamedTuple):
+    """Of the whole benchmark: number of items, their mean and largest number of words, and, for the terms of one
+    shard in order, the number of items that hold each."""
+    items: int
+    mean_length: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Postings of one shard: lists by term, in item order, with block maxima."""
+    """Postings of one shard: lists by term, in item order, with block maxima; weights are those of the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], whole_of: Statistics):
         self.ids = [i for i, _ in items]
         column = pa.array([t for _, t in items], pa.string())
         hashes, bounds = _words(*tb.utf8(column))
-        self.stride = max(SHORTEST_STRIDE, int(np.diff(bounds).max(initial=0)))
+        self.stride = max(SHORTEST_STRIDE, whole_of.longest)
         self.parts = []
         for k, (_, text) in enumerate(items):
             own = hashes[bounds[k]:bounds[k + 1]]
@@ -93,9 +105,9 @@ class Index:
         self.df = df
         n = len(items)
         length = np.diff(bounds)[item]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(length.mean(), 1))) \
-            if len(item) else np.zeros(0)
+        every = whole_of.df[np.searchsorted(whole_of.terms, self.terms)]
+        idf = np.log(1 + (whole_of.items - every + 0.5) / (every + 0.5))
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(whole_of.mean_length, 1)))
         whole = np.bincount(item, weights=weight, minlength=n)
         self.item, self.impact = item, weight / np.maximum(whole[item], 1e-12)
         term = np.repeat(np.arange(len(df)), df)
@@ -250,26 +262,60 @@ def build(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Sha
     items = benchmark.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
 
-    def index(rows):
+    def words(batches):
+        """Each item's number of words, and its different terms."""
+        for batch in batches:
+            for part in tb.chunks(batch, "text"):
+                hashes, bounds = _words(*tb.utf8(part.column("text")))
+                shard = part.column("shard").to_numpy()
+                terms = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+                yield _terms(shard, None, np.diff(bounds))
+                yield _terms(shard[row], np.concatenate(terms).view(np.int64), None)
+
+    def _terms(shard, term, length):
+        null = pa.nulls(len(shard), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard, pa.int32()), null if term is None else pa.array(term, pa.int64()),
+             null if length is None else pa.array(length, pa.int64())], ["shard", "term", "length"])
+
+    found = shared.written(dealt.mapInArrow(words, "shard int, term long, length long"), "decontaminate-terms")
+    n, mean, longest = found.filter(F.col("length").isNotNull()).agg(
+        F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    held = found.filter(F.col("term").isNotNull())
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = held.select("shard", "term").distinct().join(df, "term").select(
+        "shard", F.col("term").alias("key"), F.lit(None).cast("string").alias("text"), "df")
+
+    def index(rows, terms):
         rows.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index(rows))], pa.binary())], ["index"])
+        order = np.array(sorted(terms), np.int64).reshape(-1, 2)
+        term = order[:, 0].view(np.uint64) if len(order) else np.zeros(0, np.uint64)
+        up = np.argsort(term)
+        built = Index(rows, Statistics(n, mean, longest, term[up], order[up, 1]))
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(built)], pa.binary())], ["index"])
 
     def run(batches):
-        now, rows = None, []
+        """A shard's terms come before its items."""
+        now, rows, terms = None, [], []
         for batch in batches:
-            for shard, *item in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "text"))):
-                if shard != now and rows:
-                    yield index(rows)
-                    rows = []
-                now = shard
-                rows.append(tuple(item))
+            for shard, key_, text_, many in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "text", "df"))):
+                if shard != now:
+                    if rows:
+                        yield index(rows, terms)
+                    now, rows, terms = shard, [], []
+                if many is not None:
+                    terms.append((key_, many))
+                else:
+                    rows.append((key_, text_))
         if rows:
-            yield index(rows)
+            yield index(rows, terms)
 
     folder = shared.new_folder(benchmark.sparkSession, "decontaminate-index")
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)))
-    (dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "index binary")
+    both = own.unionByName(dealt.withColumn("df", F.lit(None).cast("long")))
+    (both.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_last("df")).mapInArrow(run, "index binary")
      .write.option("maxRecordsPerFile", 1).parquet(folder))
     system, root = shared.opened(folder)
     names = sorted(x.path for x in system.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))

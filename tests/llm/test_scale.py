@@ -3,6 +3,7 @@
 import collections
 import pickle
 
+import numpy as np
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,30 @@ def test_benchmark_stays_off_the_driver(spark, monkeypatch):
         assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, indexes).collect()) == [98, 99]
 
 
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    from reviewlens.llm import decontaminate
+    words = [f"w{k}" for k in range(60)]
+    rng = np.random.default_rng(0)
+    items = [(i, " ".join(rng.choice(words, rng.integers(8, 40))) + "? " + " ".join(rng.choice(words, 9))) for i in range(50)]
+    items += [(3, items[3][1]), (None, items[4][1]), (77, ""), (78, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [t for _, t in items[:20]] + [" ".join(t.split()[len(t.split()) // 6:]) for _, t in items[20:40]] + [items[40][1] + " " + items[41][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found():
+        return sorted(((r.doc_id, r.item_id if r.item_id is not None else -1, round(r.score, 9), r.question_overlap, r.answer_overlap)
+                       for r in decontaminate.contaminated(docs, indexes).collect()))
+
+    results, shards = [], []
+    for size in (512 << 10, 3000, 400):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        indexes = decontaminate.build(benchmark)
+        shards.append(len(indexes))
+        results.append(found())
+    assert shards[0] == 1 and shards[1] < shards[2] and results[0] == results[1] == results[2]
+    assert {d for d, *_ in results[0]} >= set(range(20)) and sum(s < 1 for _, _, s, *_ in results[0]) > 3
+
+
 def test_posting_lists_and_long_home_lists_are_split(spark, monkeypatch):
     from reviewlens.llm import ngram_join
     monkeypatch.setattr(ngram_join, "HOME", 100)
