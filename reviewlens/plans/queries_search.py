@@ -340,7 +340,7 @@ def q_cluster_topics(spark, sf_dir):
 def q_encode_sentences(spark, sf_dir):
     """M9: unit-length hashed TF-IDF vectors of every candidate sentence."""
     sents = candidate_sentences(spark, sf_dir)
-    enc = M.encode_sentences(sents, "sentence", num_features=64)
+    enc = M.encode_sentences(sents, "sentence")
     from reviewlens.functions.vectors import norm
     return normalise(enc.select("grp", "sidx", F.size("vec").alias("dims"), norm("vec").alias("norm")))
 
