@@ -5,13 +5,15 @@ entity.  All sets are sorted in one order, rare shingles first.  Two sets with a
 similarity of ``percent`` per cent or more share at least l shingles among the first
 n - ceil(percent n / 100) + l of either, for every l up to that overlap.  Each set chooses
 its own l: the longer prefix costs more postings, but a candidate then has to share l of
-them.  The cost is estimated from the lengths of the posting lists.  A pair is a candidate when it
-shares at least the smaller l of the two, and is then verified on the whole sets.
+them.  The cost is estimated from the lengths of the posting lists.  Two sets that link have an overlap o
+that follows from their sizes, and the first o - ceil(percent n / 100) + l of their common shingles lie in
+the prefix of a set of n: a pair is a candidate when it shares as many as that gives for both, and is then
+verified on the whole sets.
 
 Since only components are asked for, pairs inside one aren't formed.  Sets are first
 compared with the leaders of their home list (the posting list of their first shingle
-that another set has); next, a few pairs for each two components that meet in lists; and at last
-all candidate pairs between sets that are still in different components, which makes
+that another set has); next, a few pairs for each two components that meet in lists; then pairs within small
+parts of lists; and at last all candidate pairs between sets that are still in different components, which makes
 the result whole.  Before a pair's sets are moved, their parity maps are compared (bit i:
 whether an odd number of shingles have remainder i).  Bits that differ are at most
 as many as the shingles that only one set has, so no link is lost.  The order's frequencies are those of at most ``COMMON`` shingles that are
@@ -35,7 +37,8 @@ from reviewlens.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-LONGEST = 4  # largest l
+STEPS = 4  # l is one of 1 to STEPS, or the longest
+GROWTH = 5  # per cent of a set's size by which its longest prefix grows beyond that of STEPS
 VERIFY = 20  # cost of a verification in postings
 COMMON = 1 << 19
 LEADERS = 24
@@ -45,7 +48,10 @@ MET = 4  # lists in which those pairs meet, at least
 TRIED = (3, 8)  # pairs for each two components in the turns of the second step
 LARGE = 256
 FIRST = 3  # partners that each set tries before the rest
+DEALS, PART = 2, 16  # turns of the third step, and sets in a part of a list
 PARITY = 4  # bits of a set's parity map per shingle, at least
+SKETCH = 256  # bits of the map that goes with postings
+WORDS = [f"w{i}" for i in range(SKETCH // 64)]
 
 
 def overlap(n, percent: int = PERCENT):
@@ -53,6 +59,11 @@ def overlap(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def longest(n):
+    """Largest l of a set of n."""
+    return STEPS + GROWTH * n // 100
+
+
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row), unsorted, with repeats; a text of fewer words is one shingle."""
     data, offs = tb.utf8(column)
@@ -104,6 +115,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                     seen, held = [], 0
         if seen:
             yield _frequent(seen)
+        tb.trim()
 
     top = (docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle")
            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow())
@@ -132,13 +144,14 @@ def _prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
                 n = np.diff(bounds)
                 first = np.zeros(part.num_rows, bool)
                 first[np.unique(ids, return_index=True)[1]] = True
-                length = np.where(first, np.minimum(n, n - overlap(n, percent) + LONGEST), 0)
+                length = np.where(first, np.minimum(n, n - overlap(n, percent) + longest(n)), 0)
                 ends = np.cumsum(length)
                 at = np.repeat(bounds[:-1] - (ends - length), length) + np.arange(int(ends[-1]))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(ids), pa.array(n), lists], ["doc_id", "set", "n", "prefix"])
+        tb.trim()
 
     return shared.written(docs.mapInArrow(run, "doc_id long, set long, n long, prefix array<long>"), "ngram-prefixes")
 
@@ -158,27 +171,44 @@ def _postings(rows: DataFrame) -> DataFrame:
         F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "length"), "ngram-postings")
 
 
+def _need(n, percent: int):
+    return F.ceil(n * percent / 100)
+
+
 def _chosen(postings: DataFrame, percent: int) -> DataFrame:
-    """Each set's l by estimated cost, and its home list.
+    """Each set's l by estimated cost, and how many shingles of its longest prefix no other prefix has.
 
-    A partner shares LONGEST shingles of the longest prefixes (or the whole overlap, if that
-    is less), so sets with fewer shared ones have none and go.
+    Partners share as many shingles of their longest prefixes as the smaller of the two largest l
+    (or the whole overlap, if that is less), so sets with fewer shared ones have none and go.  The
+    larger set's l may be one more than that, as sizes are rounded.
     """
-    need = F.ceil(F.col("n") * percent / 100)
+    need = _need(F.col("n"), percent)
+    most = F.lit(STEPS) + F.floor(F.col("n") * GROWTH / 100)
     sums = [F.sum(F.when(F.col("place") < F.col("n") - need + k, F.col("length") - 1).otherwise(0)).alias(f"s{k}")
-            for k in range(1, LONGEST + 1)]
+            for k in range(1, STEPS + 1)]
     per_set = postings.groupBy("set", "n").agg(
-        *sums, F.min_by("shingle", "place").alias("home"), F.min_by("length", "place").alias("listed"),
-        F.count(F.lit(1)).alias("shared"))
-    per_set = per_set.filter(F.col("shared") >= F.least(F.lit(LONGEST), need))
-    cost = [F.struct((F.col(f"s{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l"))
-            for k in range(1, LONGEST + 1)]
-    usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= F.ceil(F.col("n") * percent / 100)))
-    return per_set.select("set", "n", "home", "listed", F.array_min(usable)["l"].alias("l"))
+        *sums, F.sum(F.col("length") - 1).alias("all"), F.count(F.lit(1)).alias("shared"))
+    per_set = per_set.filter(F.col("shared") >= F.least(most - 1, need))
+    cost = [F.struct((F.col(f"s{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).cast("long").alias("l"))
+            for k in range(1, STEPS + 1)]
+    cost.append(F.struct((F.col("all") * (1 + VERIFY / most)).alias("cost"), most.cast("long").alias("l")))
+    usable = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | (c["l"] <= need))
+    return per_set.select("set", "n", F.array_min(usable)["l"].alias("l"),
+                          (F.least(F.col("n"), F.col("n") - need + most) - F.col("shared")).alias("lone"))
+
+
+def _lists(postings: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Postings within each set's own prefix, of lists of two and more sets; own: how many a set has."""
+    own = (postings.select("shingle", "set", "n", "place").join(chosen.select("set", "l", "lone"), "set")
+           .filter(F.col("place") < F.col("n") - _need(F.col("n"), percent) + F.col("l")))
+    own = shared.written(own, "ngram-own")
+    lengths = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    kept = shared.written(own.join(lengths, "shingle"), "ngram-several")
+    return shared.written(kept.join(kept.groupBy("set").agg(F.count(F.lit(1)).alias("own")), "set"), "ngram-lists")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set, n, parity, content): parity map and sorted 48-bit shingles of the wanted sets and
+    """(set, n, parity, content, sketch words): parity map and sorted shingles of the wanted sets and
     of a few more, once per batch that a set is in."""
     spark = docs.sparkSession
     keep = spark.sparkContext.broadcast(bloom.build(wanted, "set", wanted.count()))
@@ -193,9 +223,11 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 own = [hashes[bounds[i]:bounds[i + 1]] for i in use]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[use]), pa.array(np.diff(bounds)[use]), pa.array(map(parity, own), pa.binary()),
-                     pa.array(map(_pack, own), pa.binary())], ["set", "n", "parity", "content"])
+                     pa.array((x.tobytes() for x in own), pa.binary()), *map(pa.array, sketches(own))],
+                    ["set", "n", "parity", "content", *WORDS])
+        tb.trim()
 
-    return shared.written(docs.select("text").mapInArrow(run, "set long, n long, parity binary, content binary"),
+    return shared.written(docs.select("text").mapInArrow(run, "set long, n long, parity binary, content binary, " + ", ".join(f"{w} long" for w in WORDS)),
                           "ngram-contents")
 
 
@@ -206,6 +238,14 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity maps of SKETCH bits, as rows of longs: one row for each of WORDS."""
+    at = [(x & np.uint64(SKETCH - 1)).astype(np.int64) + i * SKETCH for i, x in enumerate(sets)]
+    odd = np.bincount(np.concatenate([np.zeros(0, np.int64), *at]), minlength=len(sets) * SKETCH) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return np.ascontiguousarray(bits.view("<i8").reshape(len(sets), len(WORDS)).T)
+
+
 def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int = PERCENT) -> bool:
     """Whether sets with these sizes and parity maps can link; a longer map is folded."""
     least = min(len(a), len(b))
@@ -214,15 +254,8 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int = PERCENT) -> bo
     return 100 * (na + nb - apart) >= percent * (na + nb + apart)
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    """The upper six bytes of each (sorted) hash."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
 def _unpack(content: bytes) -> np.ndarray:
-    wide = np.zeros((len(content) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(content, np.uint8).reshape(-1, 6)
-    return wide.reshape(-1).view(">u8").astype(np.uint64)
+    return np.frombuffer(content, np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -234,18 +267,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _homes(chosen: DataFrame) -> DataFrame:
-    """(set, home): the home list, in parts of about HOME sets where it is longer."""
+    """Each set's home list, in parts of about HOME sets where it is longer."""
     part = F.pmod(F.xxhash64("set"), F.ceil(F.col("listed") / HOME))
-    return chosen.select("set", F.when(F.col("listed") > HOME, F.xxhash64("home", part)).otherwise(F.col("home")).alias("home"))
+    home = F.when(F.col("listed") > HOME, F.xxhash64("home", part)).otherwise(F.col("home"))
+    return chosen.withColumn("home", home).drop("listed")
 
 
-def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+def _led(contents: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """(set, component): sets joined to a leader of their home list, or of their part of it.
 
     The parity maps choose the leader, as contents are several times as large; a set whose
-    contents don't link with it stays alone, for the next steps.
+    contents don't link with it stays alone, for the next steps.  Sets with the fewest shingles of their own
+come first, since a text that copies were made from links with more of them than a copy does.
     """
-    rows = contents.select("set", "n", "parity").join(_homes(chosen), "set")
+    first = lists.groupBy("set", "lone").agg(F.min_by("shingle", "place").alias("home"), F.min_by("length", "place").alias("listed"))
+    rows = contents.select("set", "n", "parity").join(_homes(first), "set")
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -265,7 +301,7 @@ def _led(contents: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
                 out.append(mine)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.int64())], ["x", "y"])
 
-    tried = shared.written(rows.repartition(parts, "home").sortWithinPartitions("home", "n", "set")
+    tried = shared.written(rows.repartition(parts, "home").sortWithinPartitions("home", "lone", "n", "set")
                            .select("home", "set", "n", "parity").mapInArrow(run, "x long, y long"), "ngram-led")
     links = _verified(contents, tried.filter("y IS NOT NULL"), percent)
     return shared.written(tried.select(F.col("x").alias("set")).join(
@@ -330,12 +366,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
         "set", F.coalesce("new", "component").alias("component")), "ngram-labels")
 
 
-def _in_lists(postings: DataFrame, chosen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Postings within each set's own prefix, of lists where components meet."""
-    need = F.ceil(F.col("n") * percent / 100)
-    own = (postings.select("shingle", "set", "n", "place").join(chosen.select("set", "l"), "set")
-           .filter(F.col("place") < F.col("n") - need + F.col("l")).join(labels, "set"))
-    own = shared.written(own.select("shingle", "set", "n", "l", "place", "component"), "ngram-lists")
+def _in_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists where components meet, with components."""
+    own = lists.join(labels, "set")
     meet = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     return own.join(meet.select("shingle"), "shingle", "left_semi")
 
@@ -362,22 +395,48 @@ def _met(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return star.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED[turn]).select("x", "y")
 
 
-def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that share enough prefix shingles and can still link.
+def _sketched(lists: DataFrame, contents: DataFrame) -> DataFrame:
+    own = contents.groupBy("set").agg(*[F.first(w).alias(w) for w in WORDS])
+    return shared.written(lists.join(own, "set"), "ngram-sketched")
+
+
+def _joined(lists: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    """Pairs of sets of different components that share a list, and can still link by their sizes, places and sketches.
 
-    After their last common prefix shingle two sets share at most what either has left.
+    Before a common shingle two sets share at most what either has before it, and after
+    it at most what either has left.  Their sketches differ in at most as many bits as there are shingles of one set alone.
     """
-    side = ["set", "n", "l", "place", "component"]
-    a = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in side])
-    b = lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in side])
-    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    side = ["set", "n", "l", "own", "place", "component", *WORDS]
+    a = lists.select(*keys, *[F.col(c).alias(f"{c}_x") for c in side])
+    b = lists.select(*keys, *[F.col(c).alias(f"{c}_y") for c in side])
+    overlap_xy = F.floor((percent * (F.col("n_x") + F.col("n_y")) + 99 + percent) / (100 + percent))
+    least = overlap_xy - F.greatest(*[_need(F.col(f"n_{i}"), percent) - F.col(f"l_{i}") for i in "xy"])
+    here = F.least("place_x", "place_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in WORDS), F.lit(0))
+    fits = ((F.least("own_x", "own_y") >= least) & (here >= overlap_xy)
+            & (apart <= F.col("n_x") + F.col("n_y") - 2 * overlap_xy))
     most = F.col("met") + F.least(F.col("n_x") - 1 - F.col("last_x"), F.col("n_y") - 1 - F.col("last_y"))
-    return (a.join(b, "shingle").filter((F.col("set_x") < F.col("set_y")) & (F.col("component_x") != F.col("component_y")) & fits)
-            .groupBy(F.col("set_x").alias("x"), F.col("set_y").alias("y"), "n_x", "n_y")
-            .agg(F.count(F.lit(1)).alias("met"), F.min(F.least("l_x", "l_y")).alias("least"),
-                 F.max("place_x").alias("last_x"), F.max("place_y").alias("last_y"))
-            .filter((F.col("met") >= F.col("least")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)))
-            .select("x", "y", most.alias("most")))
+    return (a.join(b, keys).filter((F.col("set_x") < F.col("set_y")) & (F.col("component_x") != F.col("component_y")) & fits)
+            .groupBy(F.col("set_x").alias("x"), F.col("set_y").alias("y"), "n_x", "n_y", "l_x", "l_y")
+            .agg(F.count(F.lit(1)).alias("met"), F.max("place_x").alias("last_x"), F.max("place_y").alias("last_y"))
+            .select("x", "y", "met", least.alias("least"), overlap_xy.alias("overlap"), most.alias("most")))
+
+
+def _dealt(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each set the FIRST partners that it meets most often in its part of lists.
+
+    Lists are dealt into parts of about PART sets, others each turn, so the pairs grow with the
+    lists' rows; copies that a component still lacks mostly link with one of many members.
+    """
+    part = F.pmod(F.xxhash64("set", F.lit(turn)), F.ceil(F.col("length") / PART))
+    pairs = _joined(lists.withColumn("part", part), percent, ["shingle", "part"])
+    best = Window.partitionBy("x").orderBy(F.desc("met"), "y")
+    return pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST).select("x", "y")
+
+
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that share enough prefix shingles and can still link."""
+    return _joined(lists, percent, ["shingle"]).filter("met >= least AND most >= overlap").select("x", "y", "most")
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -393,15 +452,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = _prefixes(source, _common(source, size), size, percent)
     postings = _postings(rows)
-    chosen = shared.written(_chosen(postings, percent), "ngram-chosen")
-    contents = _contents(source, chosen, size)
-    labels = _led(contents, chosen, percent)
+    lists = _lists(postings, shared.written(_chosen(postings, percent), "ngram-chosen"), percent)
+    contents = _contents(source, lists.select("set").distinct(), size)
+    lists = _sketched(lists, contents)
+    labels = _led(contents, lists, percent)
     for turn in range(len(TRIED)):
-        pairs = shared.written(_met(_in_lists(postings, chosen, labels, percent), labels, turn), "ngram-met")
+        pairs = shared.written(_met(_in_lists(lists, labels), labels, turn), "ngram-met")
+        if not pairs.limit(1).count():
+            break
+        labels = _relabelled(labels, _verified(contents, _near(contents, pairs, percent), percent))
+    for turn in range(DEALS):
+        pairs = shared.written(_dealt(_in_lists(lists, labels), percent, turn), "ngram-dealt")
         if not pairs.limit(1).count():
             break
         labels = _relabelled(labels, _verified(contents, _near(contents, pairs, percent), percent))
-    pairs = shared.written(_candidates(_in_lists(postings, chosen, labels, percent), percent), "ngram-candidates")
+    pairs = shared.written(_candidates(_in_lists(lists, labels), percent), "ngram-candidates")
     pairs = _near(contents, pairs, percent)
     for end in ("x", "y"):  # the likeliest partners first; what they join needs no more pairs
         if not pairs.limit(1).count():
