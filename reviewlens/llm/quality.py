@@ -4,9 +4,9 @@ Tokens are lower-cased runs of word bytes or of punctuation; unigrams and bigram
 hashed into ``BUCKETS`` cells.  Two smoothed multinomials over the cells are counted: the
 raw corpus (all documents) and the trusted target (documents labelled good).  A document's
 score is the sum of log(target / raw) over its n-grams divided by their number; documents
-under one fixed threshold are rejected.  The labelled documents are a sample of at most
-``LABELLED`` rows (the smallest hashes of their ids), so target, threshold and broadcast
-are bounded; the raw counts, the statistics and the verdicts cover every row.
+under one fixed threshold are rejected.  Every labelled document counts, in the target and for the threshold:
+labels meet documents in a join, whose rows are written once, and the threshold comes from running
+totals over the sorted scores, so the driver receives BUCKETS counts and one number, however many labels there are.
 
 Defined cases: a null or empty text has zero counts, a score of 0 and fails the base
 rules; null ids and repeated rows each give their own row; null labels are no label;
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm import bloom
 from reviewlens.llm import textbatch as tb
+from reviewlens.llm.shared import written
+from reviewlens.operators.common import running_total
 
 BUCKETS = 1 << 14
-LABELLED = 20_000
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, bool)
@@ -93,7 +95,7 @@ def _member(ids: pa.Array, wanted: np.ndarray) -> np.ndarray:
     return wanted[at] == got
 
 
-def labelled_sample(labels: DataFrame, column: str, most: int = LABELLED) -> dict[int, np.ndarray]:
+def labelled_sample(labels: DataFrame, column: str, most: int) -> dict[int, np.ndarray]:
     """Sorted ids by label value: at most ``most`` labelled rows, the smallest hashes."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
             .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).distinct()
@@ -101,60 +103,72 @@ def labelled_sample(labels: DataFrame, column: str, most: int = LABELLED) -> dic
     return {y: np.unique(np.array([r.doc_id for r in rows if r.y == y], np.int64)) for y in (0, 1)}
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, good) of every document with a label; good if any of its labels is 1.
+
+    A filter of bounded size keeps most texts without a label out of the join's shuffle."""
+    known = written(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+                    .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+                    .groupBy("doc_id").agg((F.max("y") == 1).alias("good")), "labels")
+    key = F.xxhash64("doc_id").alias("key")
+    keep = docs.sparkSession.sparkContext.broadcast(bloom.build(known.select(key), "key", known.count()))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep.value.has(batch.column("key").to_numpy())))
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").select("doc_id", "text", key)
+    some = some.mapInArrow(run, some.schema)
+    return written(some.hint("merge").join(known, "doc_id").select("text", "good"), "labelled")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict:
     """The log ratio of each cell and the threshold (bounded: BUCKETS numbers)."""
-    ids = labelled_sample(labels, "quality")
-    good, both = ids[1], np.union1d(ids[0], ids[1])
+    source = docs.select(F.col("doc_id"), F.col(text).alias("text"))
+    labelled = _labelled(source, labels)
 
     def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        found = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in tb.chunks(batch, "text"):
-                cells, rows = _cells(*tb.utf8(part.column("text")))
-                raw += np.bincount(cells, minlength=BUCKETS)
-                trusted = _member(part.column("doc_id"), good)
-                target += np.bincount(cells[trusted[rows]], minlength=BUCKETS)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["cell", "raw", "target"])
+                found += np.bincount(_cells(*tb.utf8(part.column("text")))[0], minlength=BUCKETS)
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["cell", "n"])
 
-    source = docs.select(F.col("doc_id"), F.col(text).alias("text"))
-    counted = (source.mapInArrow(count, "cell long, raw long, target long")
-               .groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect())
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted:
-        raw[r.cell], target[r.cell] = r.raw, r.target
+    def counts(texts: DataFrame) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for r in texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[r.cell] = r.n
+        return out
+
+    raw, target = counts(source), counts(labelled.filter("good"))
     ratio = np.zeros(BUCKETS)
     if target.sum():
         ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
     def score(batches):
         for batch in batches:
-            kept = batch.filter(pa.array(_member(batch.column("doc_id"), both)))
-            for part in tb.chunks(kept, "text"):
+            for part in tb.chunks(batch, "text"):
                 got = _scores(*tb.utf8(part.column("text")), ratio)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_member(part.column("doc_id"), good)), pa.array(got)], ["good", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("good"), pa.array(got)], ["good", "score"])
 
-    scored = source.mapInArrow(score, "good boolean, score double").groupBy("good", "score").count().collect()
-    return {"ratio": ratio, "threshold": _threshold(scored)}
+    return {"ratio": ratio, "threshold": _threshold(labelled.mapInArrow(score, "good boolean, score double"))}
 
 
-def _threshold(scored) -> float:
-    """The cut with the largest balanced accuracy on the sample, halfway between scores;
+def _threshold(scored: DataFrame) -> float:
+    """The cut with the largest balanced accuracy on the labelled rows, halfway between scores;
     of equal cuts the lowest.  -inf unless both labels occur."""
-    tally: dict[float, list[int]] = {}
-    for r in scored:
-        tally.setdefault(r.score, [0, 0])[r.good] += r["count"]
-    values = sorted(tally)
-    bad, good = (np.array([tally[v][k] for v in values], float) for k in (0, 1))
-    if not len(values) or not bad.sum() or not good.sum():
+    tally = written(scored.groupBy("score").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("fine")), "tally")
+    both = tally.agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).first()
+    if not both.bad or not both.fine:
         return float("-inf")
-    gain = np.cumsum(bad) / bad.sum() - np.cumsum(good) / good.sum()  # reject values[: i + 1]
-    i = int(np.argmax(gain))
-    if gain[i] <= 0:
+    before = running_total(running_total(tally, "score", "bad", "_bad"), "score", "fine", "_fine")
+    gain = (F.col("_bad") + F.col("bad")) / F.lit(float(both.bad)) - (F.col("_fine") + F.col("fine")) / F.lit(float(both.fine))
+    best = before.agg(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("at"))).alias("b")).first().b
+    if best.gain <= 0:
         return float("-inf")
-    return (values[i] + values[min(i + 1, len(values) - 1)]) / 2
+    after = tally.filter(F.col("score") > F.lit(-best.at)).agg(F.min("score").alias("next")).first().next
+    return (-best.at + (-best.at if after is None else after)) / 2
 
 
 def score_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

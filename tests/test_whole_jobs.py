@@ -20,3 +20,34 @@ def test_clean_text_expands_the_contractions_of_its_phrases(spark, tmp_path):
     assert got[1].tail == " End I would say he is fine"
     assert all(len(got[i].tail) > len(" End ") and "n't" not in got[i].tail for i in got)
     assert all(r.clean_chars == len(f"Cafe {i}.") + len(r.tail) for i, r in got.items())
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    import numpy as np
+    from reviewlens.llm import quality
+    monkeypatch.setattr(quality, "LABELLED", 20, raising=False)
+    rows = [(i, ("fine words here " if i % 3 else "bad stuff there ") * 20 + f"row{i}") for i in range(21_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    target = np.zeros(quality.BUCKETS)
+    data, offs = quality.tb.utf8(quality.pa.array([t for i, t in rows if i % 3]))
+    target += np.bincount(quality._cells(data, offs)[0], minlength=quality.BUCKETS)
+    raw = target + np.bincount(quality._cells(*quality.tb.utf8(quality.pa.array([t for i, t in rows if not i % 3])))[0],
+                               minlength=quality.BUCKETS)
+    want = np.log((target + 1) / (target.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    assert np.allclose(model["ratio"], want)
+
+
+def test_threshold_is_the_best_cut(spark):
+    import numpy as np
+    from reviewlens.llm import quality
+    rng = np.random.default_rng(4)
+    rows = [(bool(g), float(round(rng.normal(g), 1))) for g in rng.integers(0, 2, 300)]
+    values = sorted({s for _, s in rows})
+    good, bad = ([sum(1 for g, s in rows if g == k and s <= v) for v in values] for k in (True, False))
+    gain = np.array(bad) / bad[-1] - np.array(good) / good[-1]
+    i = int(np.argmax(gain))
+    got = quality._threshold(spark.createDataFrame(rows, "good boolean, score double"))
+    assert got == (values[i] + values[min(i + 1, len(values) - 1)]) / 2
+    assert quality._threshold(spark.createDataFrame(rows, "good boolean, score double").filter("good")) == float("-inf")
