@@ -51,3 +51,31 @@ def test_threshold_is_the_best_cut(spark):
     got = quality._threshold(spark.createDataFrame(rows, "good boolean, score double"))
     assert got == (values[i] + values[min(i + 1, len(values) - 1)]) / 2
     assert quality._threshold(spark.createDataFrame(rows, "good boolean, score double").filter("good")) == float("-inf")
+
+
+def _vectors(spark, n=90, seed=5):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows = [(int(i % 3), i, rng.normal(size=6).tolist()) for i in range(n)]
+    rows += [(0, 900, [0.0] * 6), (1, 901, None), (2, 902, rows[2][2]), (2, 903, rows[2][2]), (7, 950, rows[0][2])]
+    return spark.createDataFrame(rows, "label long, vec_id long, vec array<double>")
+
+
+def test_cosine_statistics_equal_those_of_single_pairs(spark, monkeypatch):
+    from reviewlens.functions import vectors as V
+    from reviewlens.operators import diagnostics as D
+    monkeypatch.setattr(D, "BLOCK", 7)
+    monkeypatch.setattr(D, "AT_ONCE", 16)
+    monkeypatch.setattr(D, "pair_scores", lambda *a: 1 / 0)  # no table of pairs
+    df = _vectors(spark)
+    got = D.pair_score_stats(df, "label", "vec_id", "vec").orderBy("label").collect()
+    low = D.pair_score_examples(df, "label", "vec_id", "vec", bins=16).orderBy("label", "zone", "rank", "a", "b").collect()
+    monkeypatch.undo()
+    plain = lambda a, b: V.cosine(a, b)
+    want = D.pair_score_stats(df, "label", "vec_id", "vec", plain).orderBy("label").collect()
+    assert len(got) == len(want) == 4
+    for g, w in zip(got, want):
+        for k, x in w.asDict().items():
+            assert g[k] == x if not isinstance(x, float) else abs(g[k] - x) < 1e-9, (k, g, w)
+    high = D.pair_score_examples(df, "label", "vec_id", "vec", plain, bins=16).orderBy("label", "zone", "rank", "a", "b").collect()
+    assert low and [r[:5] for r in low] == [r[:5] for r in high]
