@@ -134,7 +134,7 @@ def _tile_stats(label: str):
         least pair without a score."""
         names = [label, *_STATS.names]
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
         tile, mean = _Tile(left, right), left["avg_score"].iloc[0]
         mean = np.nan if mean is None else float(mean)
         base = mean if mean == mean else 0.0
@@ -164,6 +164,7 @@ def _tile_stats(label: str):
         for found in (mn, mx, na, no):
             row += list(found or (None,) * 4)
         out = pd.DataFrame([row], columns=names)
+        out[label] = out[label].astype(object)
         for c in names[5:]:
             out[c] = out[c].astype("Int64" if c[-2:] in ("_a", "_b") else "Float64")
         return out
@@ -258,7 +259,7 @@ def _tile_bins(label: str, bins: int):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """(label, bin, held): pairs by bin of their score to nine places; those without a score have no bin."""
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in (label, "bin", "held")})
+            return pd.DataFrame({c: [] for c in (label, "bin", "held")}, dtype=object)
         tile = _Tile(left, right)
         held, none = np.zeros(2 * bins + 2, np.int64), 0
         for _, s, pair in tile.slices():
@@ -269,7 +270,7 @@ def _tile_bins(label: str, bins: int):
         out = pd.DataFrame({"bin": pd.array(at - bins, dtype="Int64"), "held": held[at]})
         if none:
             out = pd.concat([out, pd.DataFrame({"bin": pd.array([None], dtype="Int64"), "held": [none]})])
-        out.insert(0, label, left[label].iloc[0])
+        out.insert(0, label, np.full(len(out), left[label].iloc[0], dtype=object))
         return out
     return fn
 
@@ -283,7 +284,7 @@ def _tile_members(label: str, bins: int, names: list[str]):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The pairs of the wanted bins."""
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
         tile, wanted, out = _Tile(left, right), np.asarray(left["bins"].iloc[0], np.int64), []
         some = np.zeros(2 * bins + 2, bool)
         some[wanted + bins] = True
@@ -295,7 +296,7 @@ def _tile_members(label: str, bins: int, names: list[str]):
             a, b = tile.ends(i[keep] + at, j[keep])
             out.append(pd.DataFrame({names[1]: bin_[keep], names[2]: a, names[3]: b, names[4]: np.round(score[keep], 9)}))
         got = pd.concat(out)
-        got.insert(0, label, left[label].iloc[0])
+        got.insert(0, label, np.full(len(got), left[label].iloc[0], dtype=object))
         return got
     return fn
 

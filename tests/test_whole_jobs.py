@@ -79,3 +79,39 @@ def test_cosine_statistics_equal_those_of_single_pairs(spark, monkeypatch):
             assert g[k] == x if not isinstance(x, float) else abs(g[k] - x) < 1e-9, (k, g, w)
     high = D.pair_score_examples(df, "label", "vec_id", "vec", plain, bins=16).orderBy("label", "zone", "rank", "a", "b").collect()
     assert low and [r[:5] for r in low] == [r[:5] for r in high]
+
+
+def test_dbscan_needs_no_table_of_pairs(spark, monkeypatch):
+    import numpy as np
+    from reviewlens.operators import clustering as C
+    rng = np.random.default_rng(8)
+    rows = [(f"g{i % 2}", i, (rng.uniform(size=2) * 5).tolist()) for i in range(120)]
+    pts = spark.createDataFrame(rows, "grp string, id long, vec array<double>")
+    params = spark.createDataFrame([("g0", 0.55, 3), ("g1", 0.5, 2)], "grp string, eps double, min_samples int")
+    pairs = C.cut_lineage(C.neighbour_pairs(pts, params, ["grp"], "id", tile_rows=9))
+    want = sorted(C.dbscan(pts, params, ["grp"], "id", pairs=pairs).collect())
+    monkeypatch.setattr(C, "neighbour_pairs", lambda *a: 1 / 0)
+    monkeypatch.setattr(C, "AT_ONCE", 32)
+    got = sorted(C.dbscan(pts, params, ["grp"], "id", tile_rows=9).collect())
+    assert got == want
+    assert len({r.label for r in got}) > 3
+
+
+def test_similar_words_put_out_n_best_once_a_group(spark):
+    import numpy as np
+    from reviewlens.operators import soft_cosine as SC
+    rng = np.random.default_rng(3)
+    batches, held = [], 0
+    v = rng.normal(size=(300, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for side in (0, 1):
+        for at in range(0, 300, 50):
+            ids = np.arange(at, at + 50)
+            batches.append(SC.pa.RecordBatch.from_arrays(
+                [SC.pa.array(np.zeros(50, int)), SC.pa.array(np.zeros(50, int)), SC.pa.array(np.full(50, side)), SC.pa.array(ids),
+                 SC.pa.array(v[ids].tolist())], ["i", "g", "side", "id", "v"]))
+    got = SC.pa.Table.from_batches(list(SC._best_of_blocks(5, 0.0)(batches))).to_pandas()
+    cos = np.round(v @ v.T, 9)
+    np.fill_diagonal(cos, -2)
+    want = {(a, b) for a in range(300) for b in sorted(range(300), key=lambda b: (-cos[a, b], b))[:5] if cos[a, b] >= 0}
+    assert len(got) == len(want) and set(zip(got.a, got.b)) == want
