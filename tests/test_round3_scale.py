@@ -45,6 +45,20 @@ def test_reviews_are_joined_once_for_all_formats(spark, tmp_path, monkeypatch):
     assert got["csv"].n_rows == 6 and got["review_dicts"].n_named == 3
 
 
+def test_sentences_are_tokenised_once(spark):
+    df = spark.createDataFrame([("The cat sat",), ("THE dog sat",), ("the",)], "sentence string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def meet(s):
+        seen.add(1)
+        return s
+
+    got = M.encode_sentences(df.select(F.udf(meet, "string")("sentence").alias("sentence")), "sentence", 16).collect()
+    assert seen.value == 3
+    lengths = {r.sentence: round(sum(x * x for x in r.vec), 9) for r in got}
+    assert lengths == {"The cat sat": 1, "THE dog sat": 1, "the": 0}
+
+
 def test_stop_words_are_looked_up_in_a_set(spark, capsys):
     texts = ["  the cat\tand\u00a0 the  hat cat \n", "", " \n", "THE the", None]
     df = spark.createDataFrame([(t,) for t in texts], "x string")
