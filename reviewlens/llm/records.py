@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def _tokens(path: str) -> tuple[Store, bool]:
         order = np.concatenate([np.flatnonzero(blank), np.flatnonzero(~blank)])
         spaced = [units[i] for i in order[:blank.sum()]]
         ids, _ = library(["".join(spaced[k:k + JOINED]) for k in range(0, len(spaced), JOINED)])
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in spaced), np.int64, len(spaced)))
+        ends = np.cumsum(pc.binary_length(pa.array(spaced, pa.large_string())).to_numpy())
         cut = np.searchsorted(np.cumsum(width[ids]), ends, side="left") + 1
         rest, rest_sizes = library([units[i] for i in order[blank.sum():]])
         sizes = np.concatenate([np.diff(cut, prepend=0), rest_sizes])

@@ -9,17 +9,21 @@ white space beside a blank, or a blank at an end, is one unit.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = re.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z|[\x1c-\x1f]")
 _ODD_ASCII = [x for c in " \t\n\v\f\r" for x in (c + " ", " " + c)] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+_WIDE = [c for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
 def odd(text: str) -> bool:
-    if text.isascii():
+    if text.isascii() or not any(c in text for c in _WIDE):
         return text[0] == " " or text[-1] == " " or any(x in text for x in _ODD_ASCII)
     return _ODD.search(text) is not None
 
@@ -39,17 +43,6 @@ def unit(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
-class _Index(dict):
-    """Numbers keys in the order in which they are first asked for; ``new`` has those not yet encoded."""
-
-    new: list[str]
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-
 class Store:
     """Token ids by unit.  ``encode`` maps a list of units to (flat ids, ids per unit).
 
@@ -59,8 +52,7 @@ class Store:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
-        self.at = _Index()
-        self.at.new = []
+        self.at = defaultdict(count().__next__)  # numbers keys in the order in which they are first asked for
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.asked = np.zeros(0, np.int32)
@@ -70,22 +62,44 @@ class Store:
         if len(keep) > self.most // 2:
             keep = keep[:0]
         keys = list(self.at)
-        self.at = _Index((keys[k], n) for n, k in enumerate(keep.tolist()))
-        self.at.new = []
+        self.at = defaultdict(count(len(keep)).__next__, ((keys[k], n) for n, k in enumerate(keep.tolist())))
         self.flat, ends = take(self.flat, self.start[keep], self.start[keep + 1])
         self.start = np.append(0, ends)
         self.asked = np.ones(len(keep), np.int32)
 
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(units, bounds): the numbers of the units of :func:`split` of each text.
+
+        Arrow splits the texts and finds the different words of all of them; only those are asked for."""
+        whole = np.fromiter(map(odd, (t or "." for t in texts)), bool, len(texts))
+        empty = np.fromiter((not t for t in texts), bool, len(texts))
+        pieces = pc.split_pattern(pa.array(("" if w else t for w, t in zip(whole.tolist(), texts)), pa.large_string()), " ")
+        bounds = np.asarray(pieces.offsets).astype(np.int64)  # an empty string is one piece
+        words = pieces.flatten().dictionary_encode()
+        codes = words.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(codes), bool)
+        first[bounds[:-1]] = True
+        asked = np.zeros(len(words.dictionary), bool)
+        asked[codes[~first]] = True
+        used = np.flatnonzero(asked)
+        numbers = np.zeros(len(words.dictionary), np.int64)
+        numbers[used] = np.fromiter(map(self.at.__getitem__, words.dictionary.take(pa.array(used)).to_pylist()), np.int64, len(used))
+        which = numbers[codes]
+        filled = np.flatnonzero(~empty)
+        starts = (" " + (texts[i] if whole[i] else texts[i].split(" ", 1)[0]) for i in filled.tolist())
+        which[bounds[filled]] = np.fromiter(map(self.at.__getitem__, starts), np.int64, len(filled))
+        gone = np.zeros(len(codes), bool)
+        gone[bounds[:-1][empty]] = True
+        return which[~gone], bounds - np.append(0, np.cumsum(empty))
+
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
         if len(self.at) > self.most:
             self._forget()
-        lists = [split(t) for t in texts]
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(x) for x in lists], out=bounds[1:])
-        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(lists)), np.int64, int(bounds[-1]))
-        if self.at.new:
-            keys, self.at.new = self.at.new, []
+        known = len(self.at)
+        which, bounds = self._numbered(texts)
+        if len(self.at) > known:
+            keys = list(islice(self.at, known, None))
             flat, sizes = self.encode([unit(k) for k in keys])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, flat])
