@@ -39,6 +39,7 @@ from reviewlens.llm.units import Store, take
 
 END_ID = 2
 READ_BYTES = 8 << 20
+UNITS = 600_000  # kept by a worker; fewer are encoded over again
 WRITE_BYTES = 4 << 20
 JOINED = 256
 HAS_ID, NARROW = 1, 2
@@ -108,7 +109,7 @@ def _tokens(path: str) -> tuple[Store, bool]:
         sizes = sizes[np.argsort(order)]
         return take(np.concatenate([ids, rest]), at, at + sizes)[0], sizes
 
-    return Store(encode), max(tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16
+    return Store(encode, UNITS), max(tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16
 
 
 def write_records(docs: DataFrame, path: str, folder: str, text: str = "text") -> DataFrame:
