@@ -36,9 +36,11 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of the bytes that they decode to."""
+    """Token ids of each text, with digests of the ids and of the bytes that they decode to.
+
+    The ids are written between the two, so that a core holds one Python worker and not two."""
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.decode(bpe.encode(docs, *vocab), *vocab).select(
+    return bpe.decode(shared.written(bpe.encode(docs, *vocab), "stage-ids"), *vocab).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -178,6 +178,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
                 ids, bounds = store.tokens([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), binaries(ids.astype("<u4"), bounds)], ["key", "ids"])
+        del store
+        tb.trim()
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "key long, ids binary").withColumnRenamed("key", key)
@@ -197,6 +199,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("ids"), binaries(data, np.append(0, ends)[bounds])],
                     ["key", "ids", "bytes"])
+        tb.trim()
 
     source = encoded.select(F.col(key).alias("key"), "ids")
     return source.mapInArrow(run, "key long, ids binary, bytes binary").withColumnRenamed("key", key)

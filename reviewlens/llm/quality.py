@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict:
             for part in tb.chunks(batch, "text"):
                 found += np.bincount(_cells(*tb.utf8(part.column("text")))[0], minlength=BUCKETS)
         used = np.flatnonzero(found)
+        tb.trim()
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["cell", "n"])
 
     def counts(texts: DataFrame) -> np.ndarray:
@@ -151,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict:
             for part in tb.chunks(batch, "text"):
                 got = _scores(*tb.utf8(part.column("text")), ratio)
                 yield pa.RecordBatch.from_arrays([part.column("good"), pa.array(got)], ["good", "score"])
+        tb.trim()
 
     return {"ratio": ratio, "threshold": _threshold(labelled.mapInArrow(score, "good boolean, score double"))}
 
@@ -205,5 +207,6 @@ def keep_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFram
         for batch in batches:
             for part in tb.chunks(batch, text):
                 yield part.filter(pa.array(_judge(part.column(text), ratio, threshold)["kept"]))
+        tb.trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -155,3 +155,16 @@ def test_pipeline_keeps_columns_and_only_narrows(spark):
         assert 0 < after.count() <= n
         docs, n = after, after.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF01).count() == n
+
+
+def test_pipeline_decodes_written_ids(spark):
+    """Encoding and decoding in one stage hold two Python workers per core, with a vocabulary each."""
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "Hello world, hello"), (2, ""), (3, None), (None, "é 日本"), (1, "Hello world, hello")],
+                                 "doc_id long, text string")
+    found = corpus_pipeline.byte_bpe(spark, docs, SF01)
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("MapInArrow") == 1
+    said = sorted((r.doc_id is None, r.doc_id or 0, r.decoded_sha256) for r in found.collect())
+    assert said == sorted((i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest())
+                          for i, t in [(1, "Hello world, hello"), (2, ""), (3, None), (None, "é 日本"), (1, "Hello world, hello")])
