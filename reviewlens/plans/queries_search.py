@@ -26,11 +26,16 @@ from reviewlens.sources.tables import reviews
 CFG = S.SearchConfig()
 
 
+def every_candidate(spark, sf_dir):
+    """The candidate sentences of all reviews; those without a product are numbered together, under a null ``grp``."""
+    r = reviews(spark, sf_dir).select(F.struct("asin").alias("key"), "doc_id", "review_text")  # a struct is not null
+    s = dot_sentences(r, "review_text", ["key", "doc_id"], min_chars=40)
+    s = group_rank(s, ["key"], ["doc_id", "pos"], name="sidx")
+    return s.select(F.col("key.asin").alias("grp"), "sidx", "sentence")
+
+
 def candidate_sentences(spark, sf_dir):
-    r = reviews(spark, sf_dir).select("asin", "doc_id", "review_text")
-    s = dot_sentences(r, "review_text", ["asin", "doc_id"], min_chars=40)
-    s = group_rank(s, ["asin"], ["doc_id", "pos"], name="sidx")
-    return s.select(F.col("asin").alias("grp"), "sidx", "sentence")
+    return every_candidate(spark, sf_dir).filter("grp IS NOT NULL")
 
 
 def _cands(spark, sf_dir):
@@ -339,10 +344,10 @@ def q_cluster_topics(spark, sf_dir):
 @register("encode_sentences")
 def q_encode_sentences(spark, sf_dir):
     """M9: unit-length hashed TF-IDF vectors of every candidate sentence."""
-    sents = candidate_sentences(spark, sf_dir)
+    sents = every_candidate(spark, sf_dir)
     enc = M.encode_sentences(sents, "sentence")
     from reviewlens.functions.vectors import norm
-    return normalise(enc.select("grp", "sidx", F.size("vec").alias("dims"), norm("vec").alias("norm")))
+    return normalise(enc.select("grp", "sidx", F.size("vec").alias("dims"), norm(F.array_remove("vec", 0.0)).alias("norm"), "vec"))
 
 
 @register("summarise_all_products")
