@@ -20,3 +20,42 @@ def test_encoded_sentences_come_with_their_vectors(spark, tmp_path):
     assert len({tuple(r.vec) for r in rows}) == 3  # other words, other vectors
     kept = QS.candidate_sentences(spark, str(tmp_path)).select("grp", "sidx").collect()
     assert sorted(map(tuple, kept)) == [("s-en", 0), ("s-en", 1)]
+
+
+def test_nearest_words_skip_runs_that_cannot_hold_one(spark):
+    import numpy as np
+    from reviewlens.operators import soft_cosine as SC
+    rng = np.random.default_rng(5)
+    n, n_best = 6000, 5
+    v = rng.normal(size=(n, 3))
+    v[1000:1040] = v[1000]  # equal vectors: the smallest numbers are kept
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    order = np.lexsort((v[:, 0] > 0, v[:, 1] > 0, v[:, 2] // .1))
+    best, met, plain = SC._Best((0, 0), n_best, 0.5), [0], SC._Best._pass
+
+    def counted(self, ids, part, rows):
+        met[0] += len(rows) * len(ids)
+        plain(self, ids, part, rows)
+
+    SC._Best._pass = counted
+    try:
+        best.own(order, v[order])
+        best.others(order, v[order])
+        got = best.rows().to_pandas()
+    finally:
+        SC._Best._pass = plain
+    assert met[0] < n * n / 3
+    cos = np.round(np.stack([(x * v).sum(1) for x in v]), 9)
+    np.fill_diagonal(cos, -2)
+    want = {(a, b) for a in range(n) for b in np.lexsort((np.arange(n), -cos[a]))[:n_best] if cos[a, b] >= 0.5}
+    assert set(zip(got.a, got.b)) == want and len(got) == len(want)
+    assert set(got[got["last"]].groupby("a").size()) == {1}
+
+
+def test_a_bag_looks_up_stop_words_in_a_set(spark, capsys):
+    from reviewlens.operators import soft_cosine as SC
+    df = spark.createDataFrame([(1, "the cat The  cat"), (2, "the"), (3, None)], "doc long, text string")
+    bag = SC.bags(df, "text", ["doc"])
+    assert sorted(map(tuple, bag.collect())) == [(1, "The", 1), (1, "cat", 2)]
+    bag.explain()
+    assert "INSET" in capsys.readouterr().out
