@@ -59,3 +59,18 @@ def test_a_bag_looks_up_stop_words_in_a_set(spark, capsys):
     assert sorted(map(tuple, bag.collect())) == [(1, "The", 1), (1, "cat", 2)]
     bag.explain()
     assert "INSET" in capsys.readouterr().out
+
+
+def test_a_block_of_topics_is_gathered_and_spread_without_python_words():
+    import numpy as np
+    import pyarrow as pa
+    from reviewlens.operators import topics as P
+    rows = pa.table({"label": [1] * 5, "block": [0] * 5, "doc": [9, 7, 9, 7, 8], "word": ["b", "z", "a", "a", "b"],
+                     "n": [1, 2, 3, 4, 5], "p0": [.1, .2, .3, .4, .5]})
+    got = P._gather(2)(rows)
+    one = got.to_pylist()[0]
+    assert (one["label"], one["block"], one["docs"], one["words"]) == (1, 0, [7, 8, 9], ["a", "z", "b"])
+    assert (one["doc_of"], one["word_of"], one["n"], one["p"]) == ([0, 0, 1, 2, 2], [0, 1, 2, 0, 2], [4, 2, 5, 3, 1], [.4, .2, .5, .3, .1])
+    back = P._spread(2)(got).to_pandas()
+    assert sorted(zip(back.doc, back.word, back.n, back.p0)) == sorted(zip(*(rows.column(c).to_pylist() for c in ("doc", "word", "n", "p0"))))
+    assert np.allclose(back.p0 + back.p1, 1)
